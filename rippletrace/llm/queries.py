@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippletrace.llm import html_text, mixing, packing, substring_dedup
+from rippletrace.llm import html_text, jaccard_join, mixing, packing, substring_dedup
 from rippletrace.llm.common import stored
 
 
@@ -31,6 +31,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = stored(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()), "pieces")
     return packing.pack(cut)
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op6_mixing": op6_mixing,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_packing": op8_packing,
         "op10_html_text": op10_html_text,
     }
