@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rippletrace.llm import hashing
+
 PACKED = "part int, settled boolean, keys binary, docs binary, places binary"
 PACKED_TYPE = pa.schema(
     [
@@ -25,6 +27,8 @@ PACKED_TYPE = pa.schema(
         ("places", pa.binary()),
     ]
 )
+TOLD = "part int, docs binary, places binary"
+TOLD_TYPE = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("places", pa.binary())])
 FOUND = "doc_id long, places binary"
 FOUND_TYPE = pa.schema([("doc_id", pa.int64()), ("places", pa.binary())])
 
@@ -64,6 +68,18 @@ def packed_rows(
     return pa.RecordBatch.from_pylist(rows, schema=PACKED_TYPE)
 
 
+def by_part(docs: np.ndarray, places: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One row per partition of documents, with what it is told."""
+    part = ((hashing.mixed(docs.view(np.uint64)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    rows = [
+        {"part": int(part[g[0]]), "docs": docs[g].tobytes(), "places": places[g].astype("<i4").tobytes()}
+        for g in np.split(order, cuts)
+    ]
+    return pa.RecordBatch.from_pylist(rows, schema=TOLD_TYPE)
+
+
 def by_document(docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
     """One row per document with its places."""
     order = np.argsort(docs, kind="stable")
@@ -72,10 +88,8 @@ def by_document(docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
     first = np.concatenate([[0], cuts]).astype(np.int64)
     offsets = np.append(first, len(docs)) * 4
     data = pa.Array.from_buffers(
-        pa.binary(),
-        len(first),
-        [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(places.tobytes())],
-    )
+        pa.large_binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(places.tobytes())]
+    ).cast(pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(docs[first]), data], schema=FOUND_TYPE)
 
 
@@ -85,7 +99,7 @@ def resolved(
     """Bring each bucket together; ``decide(keys, docs, places)`` says which sorted entries are found.
 
     Entries arrive sorted by (key, document, place). Returns doc_id and places, one row
-    per document and bucket.
+    per document that has any; found entries are packed again on their way there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +107,7 @@ def resolved(
         for batch in batches:
             for done, *blobs in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 if done:
-                    yield by_document(np.frombuffer(blobs[1], "<i8"), np.frombuffer(blobs[2], "<i4"))
+                    yield by_part(np.frombuffer(blobs[1], "<i8"), np.frombuffer(blobs[2], "<i4"), parts)
                 else:
                     for to, blob in zip(held, blobs, strict=True):
                         to.append(blob)
@@ -115,16 +129,26 @@ def resolved(
             keys, docs, places = keys[order], docs[order], places[order]
             found = decide(keys, docs, places)
             if found.any():
-                yield by_document(docs[found], places[found])
+                yield by_part(docs[found], places[found], parts)
 
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(run, FOUND)
+    return assembled(packed.repartitionById(parts, F.col("part")).mapInArrow(run, TOLD), parts)
 
 
-def gathered(found: DataFrame, name: str) -> DataFrame:
-    """One row per document: its lists of places."""
-    return found.groupBy("doc_id").agg(F.collect_list("places").alias(name))
+def assembled(told: DataFrame, parts: int) -> DataFrame:
+    """doc_id and places, one row per document, of the rows of :func:`by_part`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: list[bytes] = []
+        places: list[bytes] = []
+        for batch in batches:
+            docs += batch.column(1).to_pylist()
+            places += batch.column(2).to_pylist()
+        if docs:
+            yield by_document(np.frombuffer(b"".join(docs), "<i8"), np.frombuffer(b"".join(places), "<i4"))
+
+    return told.repartitionById(parts, F.col("part")).mapInArrow(run, FOUND)
 
 
-def places_of(blobs: list[bytes] | None) -> np.ndarray:
+def places_of(blob: bytes | None) -> np.ndarray:
     """All places of a document, in no order."""
-    return np.frombuffer(b"".join(blobs or []), dtype="<i4")
+    return np.frombuffer(blob or b"", dtype="<i4")

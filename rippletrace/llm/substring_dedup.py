@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rippletrace.llm import hashing
 from rippletrace.llm.common import chunked, partitions, session
-from rippletrace.llm.exchange import PACKED, gathered, packed_rows, places_of, resolved
+from rippletrace.llm.exchange import PACKED, packed_rows, places_of, resolved
 
 #: Bytes of text handled at once by a Python worker.
 CHUNK = 2 << 20
@@ -96,9 +96,9 @@ def later_windows(docs: DataFrame, window: int, parts: int) -> DataFrame:
         for batch in chunked(batches, "text", CHUNK):
             c = Chunk(batch, window)
             flagged = np.zeros(c.first[-1] + 1, dtype=bool)
-            for row, blobs in enumerate(c.batch.column(2).to_pylist()):
-                if blobs:
-                    at = places_of(blobs)
+            for row, blob in enumerate(c.batch.column(2).to_pylist()):
+                if blob:
+                    at = places_of(blob)
                     flagged[c.first[row] + at[at < c.first[row + 1] - c.first[row]]] = True
             at = c.starts[flagged[c.anchor_of]]
             if not len(at):
@@ -137,20 +137,25 @@ def dedup(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = ()) -> Dat
         F.col("text").cast("string").alias("text"),
         F.struct(*(F.col(c) for c in carry), F.lit(0).alias("_")).alias("row"),
     ).repartition(parts, "doc_id")
-    flagged = gathered(repeated_anchors(known, window, parts), "anchors")
-    marked = dealt.join(flagged, "doc_id", "left").filter("anchors IS NOT NULL").select("doc_id", "text", "anchors")
-    removed = gathered(later_windows(marked, window, parts), "starts")
+    flagged = repeated_anchors(known, window, parts).withColumnRenamed("places", "anchors")
+    # both joins read all columns of ``dealt``, so that Spark deals the texts out once and reuses that exchange
+    marked = (
+        dealt.join(flagged, "doc_id", "left")
+        .filter("anchors IS NOT NULL")
+        .select("doc_id", "text", "anchors", "row")
+    )
+    removed = later_windows(marked, window, parts).withColumnRenamed("places", "starts")
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, spans, kept = [], [], [], []
-            for text, blobs in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, blob in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 runs: list[dict[str, int]] = []
-                if blobs:
-                    starts = np.unique(places_of(blobs)).astype(np.int64)
+                if blob:
+                    starts = np.unique(places_of(blob)).astype(np.int64)
                     opens = np.flatnonzero(np.diff(starts, prepend=-window - 1) > window)
                     for a, b in zip(opens, np.append(opens[1:], len(starts)), strict=True):
                         runs.append({"start": int(starts[a]), "end": int(starts[b - 1]) + window})
