@@ -251,7 +251,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     units = (
-        slim.join(placed, "doc_id")
+        slim.join(placed.hint("merge"), "doc_id")  # the same way at every size: no broadcast of what grows
         .withColumn("other", other)
         .select(
             "component",
