@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows an Arrow batch may hold on its way to a Python worker. Whole texts travel
@@ -71,7 +72,7 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Itera
         if not batch.num_rows:
             continue
         lengths = np.asarray(
-            pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).cast(pa.int64())
+            pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64())
         )
         start, total = 0, size
         for i, n in enumerate(lengths.tolist()):

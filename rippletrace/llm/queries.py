@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippletrace.llm import embedding_dedup, html_text, jaccard_join, mixing, nearest, packing, substring_dedup
+from rippletrace.llm import embedding_dedup, html_text, jaccard_join, language_id, mixing, nearest, packing, substring_dedup
 from rippletrace.llm.common import stored
 
 
@@ -26,6 +26,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.filter(~language_id.is_held_out(F.col("doc_id"))))
+    held_out = docs.select("doc_id", "text", F.coalesce(language_id.is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
+    # the text stays behind: only what identifies the row passes through the prediction
+    return language_id.identify(held_out, model, spans=False).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -55,6 +63,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_language_id": op2_language_id,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_mixing": op6_mixing,
         "op7_jaccard_join": op7_jaccard_join,
