@@ -34,9 +34,13 @@ FOUND_TYPE = pa.schema([("doc_id", pa.int64()), ("places", pa.binary())])
 
 
 def packed_rows(
-    keys: np.ndarray, docs: np.ndarray, places: np.ndarray, settled: np.ndarray, parts: int
+    keys: np.ndarray, docs: np.ndarray, places: np.ndarray, settled: np.ndarray, parts: int, key: str = "<u8"
 ) -> pa.RecordBatch:
-    """Rows for the exchange: open entries by bucket of their key; settled ones need no comparison."""
+    """Rows for the exchange: open entries by bucket of their key; settled ones need no comparison.
+
+    With ``key`` "<u4" only 32 bits of a key travel: enough for a prefilter, whose rare
+    false matches cost a little work, since partitions hold about a million entries.
+    """
     rows = []
     if settled.any():
         done_docs, done_places = docs[settled], places[settled]
@@ -60,7 +64,7 @@ def packed_rows(
             {
                 "part": int(((keys[group[0]] >> np.uint64(33)) % np.uint64(parts))),
                 "settled": False,
-                "keys": keys[group].tobytes(),
+                "keys": keys[group].astype(key).tobytes(),
                 "docs": docs[group].astype("<i8").tobytes(),
                 "places": places[group].astype("<i4").tobytes(),
             }
@@ -68,25 +72,25 @@ def packed_rows(
     return pa.RecordBatch.from_pylist(rows, schema=PACKED_TYPE)
 
 
-def by_part(docs: np.ndarray, places: np.ndarray, parts: int) -> pa.RecordBatch:
+def by_part(docs: np.ndarray, places: np.ndarray, parts: int, kind: str = "<i4") -> pa.RecordBatch:
     """One row per partition of documents, with what it is told."""
     part = ((hashing.mixed(docs.view(np.uint64)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order])) + 1
     rows = [
-        {"part": int(part[g[0]]), "docs": docs[g].tobytes(), "places": places[g].astype("<i4").tobytes()}
+        {"part": int(part[g[0]]), "docs": docs[g].tobytes(), "places": places[g].astype(kind).tobytes()}
         for g in np.split(order, cuts)
     ]
     return pa.RecordBatch.from_pylist(rows, schema=TOLD_TYPE)
 
 
-def by_document(docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+def by_document(docs: np.ndarray, places: np.ndarray, kind: str) -> pa.RecordBatch:
     """One row per document with its places."""
     order = np.argsort(docs, kind="stable")
-    docs, places = docs[order], places[order].astype("<i4")
+    docs, places = docs[order], places[order]
     cuts = np.flatnonzero(np.diff(docs)) + 1
     first = np.concatenate([[0], cuts]).astype(np.int64)
-    offsets = np.append(first, len(docs)) * 4
+    offsets = np.append(first, len(docs)) * np.dtype(kind).itemsize
     data = pa.Array.from_buffers(
         pa.large_binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(places.tobytes())]
     ).cast(pa.binary())
@@ -94,7 +98,10 @@ def by_document(docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
 
 
 def resolved(
-    packed: DataFrame, parts: int, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    packed: DataFrame,
+    parts: int,
+    decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
+    key: str = "<u8",
 ) -> DataFrame:
     """Bring each bucket together; ``decide(keys, docs, places)`` says which sorted entries are found.
 
@@ -112,7 +119,7 @@ def resolved(
                     for to, blob in zip(held, blobs, strict=True):
                         to.append(blob)
         if held[0]:
-            keys = np.frombuffer(b"".join(held[0]), "<u8")
+            keys = np.frombuffer(b"".join(held[0]), key)
             docs = np.frombuffer(b"".join(held[1]), "<i8")
             places = np.frombuffer(b"".join(held[2]), "<i4")
             held.clear()
@@ -134,7 +141,7 @@ def resolved(
     return assembled(packed.repartitionById(parts, F.col("part")).mapInArrow(run, TOLD), parts)
 
 
-def assembled(told: DataFrame, parts: int) -> DataFrame:
+def assembled(told: DataFrame, parts: int, kind: str = "<i4") -> DataFrame:
     """doc_id and places, one row per document, of the rows of :func:`by_part`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +151,7 @@ def assembled(told: DataFrame, parts: int) -> DataFrame:
             docs += batch.column(1).to_pylist()
             places += batch.column(2).to_pylist()
         if docs:
-            yield by_document(np.frombuffer(b"".join(docs), "<i8"), np.frombuffer(b"".join(places), "<i4"))
+            yield by_document(np.frombuffer(b"".join(docs), "<i8"), np.frombuffer(b"".join(places), kind), kind)
 
     return told.repartitionById(parts, F.col("part")).mapInArrow(run, FOUND)
 

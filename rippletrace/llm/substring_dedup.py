@@ -83,10 +83,11 @@ def repeated_anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
                 np.concatenate([place, place[both]]),
                 np.concatenate([doubled, np.zeros(len(both), dtype=bool)]),
                 parts,
+                "<u4",
             )
 
     packed = docs.mapInArrow(run, PACKED)
-    return resolved(packed, parts, lambda keys, docs, places: np.ones(len(keys), dtype=bool))
+    return resolved(packed, parts, lambda keys, docs, places: np.ones(len(keys), dtype=bool), "<u4")
 
 
 def later_windows(docs: DataFrame, window: int, parts: int) -> DataFrame:
