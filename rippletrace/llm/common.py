@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows an Arrow batch may hold on its way to a Python worker. Whole texts travel
 #: in these batches, so the default of 10 000 rows would not bound memory.
@@ -40,6 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def typed(df: DataFrame, name: str, kind: str) -> Column:
+    """A column as ``kind``; untouched if it has that type, so that equal plans stay equal."""
+    return F.col(name) if df.schema[name].dataType.simpleString() == kind else F.col(name).cast(kind).alias(name)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.llm import hashing
-from rippletrace.llm.common import chunked, partitions, session
+from rippletrace.llm.common import chunked, partitions, session, typed
 from rippletrace.llm.exchange import PACKED, packed_rows, places_of, resolved
 
 #: Bytes of text handled at once by a Python worker.
@@ -131,15 +131,16 @@ def dedup(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = ()) -> Dat
     """
     spark = session(docs.sparkSession)
     parts = partitions(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = docs.select(typed(docs, "doc_id", "bigint"), typed(docs, "text", "string"))
     known = slim.filter(F.col("doc_id").isNotNull())
-    dealt = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
+    whole = docs.select(
+        typed(docs, "doc_id", "bigint"),
+        typed(docs, "text", "string"),
         F.struct(*(F.col(c) for c in carry), F.lit(0).alias("_")).alias("row"),
-    ).repartition(parts, "doc_id")
+    )
+    dealt = whole.filter(F.col("doc_id").isNotNull()).repartition(parts, "doc_id")
     flagged = repeated_anchors(known, window, parts).withColumnRenamed("places", "anchors")
-    # both joins read all columns of ``dealt``, so that Spark deals the texts out once and reuses that exchange
+    # both joins read the same rows and columns of ``dealt``: Spark deals the texts out once and reuses that exchange
     marked = (
         dealt.join(flagged, "doc_id", "left")
         .filter("anchors IS NOT NULL")
@@ -183,7 +184,11 @@ def dedup(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = ()) -> Dat
                 names=["doc_id", "row", "n_words", "n_removed", "spans", "kept"],
             )
 
-    joined = dealt.join(removed, "doc_id", "left").select("doc_id", "text", "row", "starts")
+    joined = (
+        dealt.join(removed, "doc_id", "left")
+        .select("doc_id", "text", "row", "starts")
+        .union(whole.filter(F.col("doc_id").isNull()).withColumn("starts", F.lit(None).cast("binary")))
+    )
     kind = joined.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(
         finish,

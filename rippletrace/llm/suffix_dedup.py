@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.llm import hashing
-from rippletrace.llm.common import chunked, partitions, session
+from rippletrace.llm.common import chunked, partitions, session, typed
 from rippletrace.llm.exchange import PACKED, TOLD, assembled, by_part, packed_rows, places_of, resolved
 from rippletrace.llm.substring_dedup import first_of_equal
 
@@ -359,9 +359,11 @@ def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     spark = session(docs.sparkSession)
     parts = partitions(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = slim.repartition(parts, "doc_id")
-    flagged = shared_anchors(slim.filter("doc_id IS NOT NULL"), length, parts)
+    slim = docs.select(typed(docs, "doc_id", "bigint"), typed(docs, "text", "string"))
+    known = slim.filter("doc_id IS NOT NULL")
+    dealt = known.repartition(parts, "doc_id")
+    flagged = shared_anchors(known, length, parts)
+    # both joins read the same rows and columns of ``dealt``: Spark deals the texts out once and reuses that exchange
     marked = dealt.join(flagged, "doc_id", "left").filter("places IS NOT NULL").select("doc_id", "text", "places")
     removed = sort_segments(segments(marked, length, parts), length, parts).withColumnRenamed("places", "runs")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -405,6 +407,7 @@ def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     return (
         dealt.join(removed, "doc_id", "left")
         .select("doc_id", "text", "runs")
+        .union(slim.filter("doc_id IS NULL").withColumn("runs", F.lit(None).cast("binary")))
         .mapInArrow(
             finish,
             "doc_id long, n_bytes long, n_removed long, n_spans long, "
