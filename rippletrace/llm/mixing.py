@@ -159,10 +159,66 @@ def cutoffs(docs: DataFrame, needs: dict[int, int]) -> dict[int, int]:
     return done
 
 
+class Mix:
+    """A decided mix: how often documents of each membership pattern are used."""
+
+    def __init__(
+        self, docs: DataFrame, sources: Column | None, weights: tuple[float, ...], budget: float, most: int, seed: int
+    ) -> None:
+        spark = session(docs.sparkSession)
+        self.sources, self.seed = sources, seed
+        self.sized = stored(
+            docs.select("doc_id", self.members(), self.rank(), word_count(F.col("text")).alias("size")), "mix"
+        )
+        found = self.sized.groupBy("sources").agg(F.sum("size").alias("tokens")).collect()
+        names = sorted({s for r in found for s in r["sources"]}, key=lambda s: (s is None, s or ""))
+        index = {s: i for i, s in enumerate(names)}
+        totals = [0] * len(names)
+        for r in found:
+            for s in r["sources"]:
+                totals[index[s]] += r["tokens"]
+        shares = [weights[i % len(weights)] for i in range(len(names))]
+        targets = quotas(totals, shares, budget * sum(r["tokens"] for r in found), most)
+        patterns = [(tuple(index[s] for s in r["sources"]), r["tokens"]) for r in found]
+        gives = route(patterns, targets, most)
+        whole = [give // tokens if tokens else 0 for (_, tokens), give in zip(patterns, gives, strict=True)]
+        needs = {
+            p: give - whole[p] * tokens
+            for p, ((_, tokens), give) in enumerate(zip(patterns, gives, strict=True))
+            if tokens and give > whole[p] * tokens
+        }
+        keys = spark.createDataFrame(
+            [(r["sources"], p) for p, r in enumerate(found)], "pattern_sources array<string>, pattern int"
+        )
+        ranked = self.sized.join(F.broadcast(keys), F.col("sources").eqNullSafe(F.col("pattern_sources")))
+        cuts = cutoffs(ranked.select("pattern", "rank", "size"), needs) if needs else {}
+        #: One row per pattern, whose number the driver already holds.
+        self.table = spark.createDataFrame(
+            [
+                (r["sources"], whole[p], cuts.get(p, 0), totals[patterns[p][0][0]], targets[patterns[p][0][0]])
+                for p, r in enumerate(found)
+            ],
+            "pattern_sources array<string>, uses int, cut long, source_size long, target double",
+        )
+
+    def members(self) -> Column:
+        given = F.array(F.col("source")) if self.sources is None else self.sources
+        listed = F.array_sort(F.array_distinct(given))
+        none = F.array(F.lit(None).cast("string"))
+        return F.when(F.size(F.coalesce(given, F.array())) > 0, listed).otherwise(none).alias("sources")
+
+    def rank(self) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), F.col("doc_id")), 16).alias("rank")
+
+    def used(self, rows: DataFrame) -> DataFrame:
+        """Rows with sources and rank, joined to their pattern; times: how often each is used."""
+        return rows.join(F.broadcast(self.table), F.col("sources").eqNullSafe(F.col("pattern_sources"))).withColumn(
+            "times", F.col("uses") + (F.col("rank") < F.col("cut")).cast("int")
+        )
+
+
 def mix(
     docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
     sources: Column | None = None,
     weights: tuple[float, ...] = (3.0, 1.0, 2.0),
     budget: float = 1.5,
@@ -181,55 +237,26 @@ def mix(
     an empty result. The driver holds one number per source and per pattern, never
     documents.
     """
-    spark = session(docs.sparkSession)
-    given = F.array(F.col("source")) if sources is None else sources
-    member = F.when(F.size(F.coalesce(given, F.array())) > 0, F.array_sort(F.array_distinct(given))).otherwise(
-        F.array(F.lit(None).cast("string"))
-    )
-    sized = stored(
-        docs.select(
-            F.col(doc_id).alias("doc_id"),
-            member.alias("sources"),
-            word_count(F.col(text)).alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id)), 16).alias("rank"),
-        ),
-        "mix",
-    )
-    found = sized.groupBy("sources").agg(F.sum("size").alias("tokens")).collect()
-    names = sorted({s for r in found for s in r["sources"]}, key=lambda s: (s is None, s or ""))
-    index = {s: i for i, s in enumerate(names)}
-    totals = [0] * len(names)
-    for r in found:
-        for s in r["sources"]:
-            totals[index[s]] += r["tokens"]
-    targets = quotas(
-        totals, [weights[i % len(weights)] for i in range(len(names))], budget * sum(r["tokens"] for r in found), most
-    )
-    patterns = [(tuple(index[s] for s in r["sources"]), r["tokens"]) for r in found]
-    gives = route(patterns, targets, most)
-    full, needs = [], {}
-    for p, ((_, tokens), give) in enumerate(zip(patterns, gives, strict=True)):
-        whole = give // tokens if tokens else 0
-        full.append(whole)
-        if tokens and give - whole * tokens:
-            needs[p] = give - whole * tokens
-    keys = spark.createDataFrame(
-        [(r["sources"], p) for p, r in enumerate(found)], "sources array<string>, pattern int"
-    )
-    keyed = sized.join(F.broadcast(keys), sized["sources"].eqNullSafe(keys["sources"])).drop(keys["sources"])
-    cuts = cutoffs(keyed.select("pattern", "rank", "size"), needs) if needs else {}
-    table = spark.createDataFrame(
-        [
-            (p, full[p], cuts.get(p, 0), totals[members[0]], targets[members[0]])
-            for p, (members, _) in enumerate(patterns)
-        ],
-        "pattern int, uses int, cut long, source_size long, target double",
-    )
-    return keyed.join(F.broadcast(table), "pattern").select(
+    decided = Mix(docs, sources, weights, budget, most, seed)
+    return decided.used(decided.sized).select(
         "doc_id",
         "sources",
         "size",
         "source_size",
         "target",
-        (F.col("size") * (F.col("uses") + (F.col("rank") < F.col("cut")).cast("int"))).alias("taken"),
+        (F.col("size") * F.col("times")).cast("long").alias("taken"),
     )
+
+
+def mixed_rows(
+    docs: DataFrame,
+    sources: Column | None = None,
+    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
+    budget: float = 1.5,
+    most: int = 2,
+    seed: int = 17,
+) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as :func:`mix` uses it. Moves no texts."""
+    decided = Mix(docs, sources, weights, budget, most, seed)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), decided.members(), decided.rank())
+    return decided.used(rows).filter("times > 0").select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")

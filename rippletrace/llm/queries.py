@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippletrace.llm import embedding_dedup, html_text, jaccard_join, language_id, mixing, nearest, packing, substring_dedup, suffix_dedup
+from rippletrace.llm import embedding_dedup, html_text, jaccard_join, language_id, lm_score, mixing, nearest, packing, substring_dedup, suffix_dedup
 from rippletrace.llm.common import stored
 
 
@@ -34,6 +34,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(held_out, model, spans=False).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=50)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_language_id": op2_language_id,
+        "op3_lm_score": op3_lm_score,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_mixing": op6_mixing,
