@@ -12,27 +12,51 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.llm import hashing
 
-PACKED = "part int, settled boolean, keys binary, docs binary, places binary"
+PACKED = "part int, settled boolean, keys binary, where binary"
 PACKED_TYPE = pa.schema(
-    [
-        ("part", pa.int32()),
-        ("settled", pa.bool_()),
-        ("keys", pa.binary()),
-        ("docs", pa.binary()),
-        ("places", pa.binary()),
-    ]
+    [("part", pa.int32()), ("settled", pa.bool_()), ("keys", pa.binary()), ("where", pa.binary())]
 )
-TOLD = "part int, docs binary, places binary"
-TOLD_TYPE = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("places", pa.binary())])
+TOLD = "part int, where binary"
+TOLD_TYPE = pa.schema([("part", pa.int32()), ("where", pa.binary())])
 FOUND = "doc_id long, places binary"
 FOUND_TYPE = pa.schema([("doc_id", pa.int64()), ("places", pa.binary())])
 
 
+def squeezed(docs: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Documents and integers beside them as differences inside a document, by byte planes, compressed."""
+    fresh = np.ones(len(docs), dtype=bool)
+    fresh[1:] = docs[1:] != docs[:-1]
+    planes = [np.diff(docs, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T]
+    for c in columns:
+        c = c.astype("<i8")
+        step = np.diff(c, prepend=0)
+        step[fresh] = c[fresh]
+        planes.append(step.view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.concatenate(planes)).tobytes())
+
+
+def spread(blob: bytes, columns: int) -> list[np.ndarray]:
+    """What :func:`squeezed` was given."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8 * (columns + 1), -1)
+    step = [np.ascontiguousarray(raw[8 * k : 8 * k + 8].T).view("<i8").ravel() for k in range(columns + 1)]
+    docs = np.cumsum(step[0])
+    fresh = np.ones(len(docs), dtype=bool)
+    fresh[1:] = docs[1:] != docs[:-1]
+    begin = np.flatnonzero(fresh)
+    size = np.diff(np.append(begin, len(docs)))
+    out = [docs]
+    for s in step[1:]:
+        total = np.cumsum(s)
+        out.append(total - np.repeat(total[begin] - s[begin], size))
+    return out
+
+
 def packed_rows(
     keys: np.ndarray, docs: np.ndarray, places: np.ndarray, settled: np.ndarray, parts: int, key: str = "<u8"
 ) -> pa.RecordBatch:
@@ -49,8 +73,7 @@ def packed_rows(
                 "part": int(done_docs[0] % parts) if len(done_docs) else 0,
                 "settled": True,
                 "keys": b"",
-                "docs": done_docs.astype("<i8").tobytes(),
-                "places": done_places.astype("<i4").tobytes(),
+                "where": squeezed(done_docs, done_places),
             }
         )
         keys, docs, places = keys[~settled], docs[~settled], places[~settled]
@@ -65,21 +88,19 @@ def packed_rows(
                 "part": int(((keys[group[0]] >> np.uint64(33)) % np.uint64(parts))),
                 "settled": False,
                 "keys": keys[group].astype(key).tobytes(),
-                "docs": docs[group].astype("<i8").tobytes(),
-                "places": places[group].astype("<i4").tobytes(),
+                "where": squeezed(docs[group], places[group]),
             }
         )
     return pa.RecordBatch.from_pylist(rows, schema=PACKED_TYPE)
 
 
-def by_part(docs: np.ndarray, places: np.ndarray, parts: int, kind: str = "<i4") -> pa.RecordBatch:
+def by_part(parts: int, docs: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     """One row per partition of documents, with what it is told."""
     part = ((hashing.mixed(docs.view(np.uint64)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order])) + 1
     rows = [
-        {"part": int(part[g[0]]), "docs": docs[g].tobytes(), "places": places[g].astype(kind).tobytes()}
-        for g in np.split(order, cuts)
+        {"part": int(part[g[0]]), "where": squeezed(docs[g], *(c[g] for c in columns))} for g in np.split(order, cuts)
     ]
     return pa.RecordBatch.from_pylist(rows, schema=TOLD_TYPE)
 
@@ -110,19 +131,22 @@ def resolved(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[bytes]] = [[], [], []]
+        held: list[bytes] = []
+        docs_of: list[np.ndarray] = []
+        places_of_docs: list[np.ndarray] = []
         for batch in batches:
-            for done, *blobs in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            for done, blob, where in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
+                docs, places = spread(where, 1)
                 if done:
-                    yield by_part(np.frombuffer(blobs[1], "<i8"), np.frombuffer(blobs[2], "<i4"), parts)
+                    yield by_part(parts, docs, places)
                 else:
-                    for to, blob in zip(held, blobs, strict=True):
-                        to.append(blob)
-        if held[0]:
-            keys = np.frombuffer(b"".join(held[0]), key)
-            docs = np.frombuffer(b"".join(held[1]), "<i8")
-            places = np.frombuffer(b"".join(held[2]), "<i4")
-            held.clear()
+                    held.append(blob)
+                    docs_of.append(docs)
+                    places_of_docs.append(places.astype(np.int32))
+        if held:
+            keys = np.frombuffer(b"".join(held), key)
+            docs, places = np.concatenate(docs_of), np.concatenate(places_of_docs)
+            del held, docs_of, places_of_docs
             # only keys that occur twice need the full order
             order = np.argsort(keys, kind="stable")
             sorted_keys = keys[order]
@@ -136,22 +160,28 @@ def resolved(
             keys, docs, places = keys[order], docs[order], places[order]
             found = decide(keys, docs, places)
             if found.any():
-                yield by_part(docs[found], places[found], parts)
+                yield by_part(parts, docs[found], places[found])
 
     return assembled(packed.repartitionById(parts, F.col("part")).mapInArrow(run, TOLD), parts)
 
 
-def assembled(told: DataFrame, parts: int, kind: str = "<i4") -> DataFrame:
-    """doc_id and places, one row per document, of the rows of :func:`by_part`."""
+def assembled(told: DataFrame, parts: int, columns: int = 1) -> DataFrame:
+    """doc_id and places, one row per document, of the rows of :func:`by_part`.
+
+    Two columns a and b come as one number, a << 32 | b.
+    """
+    kind = "<i4" if columns == 1 else "<i8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: list[bytes] = []
-        places: list[bytes] = []
+        docs: list[np.ndarray] = []
+        places: list[np.ndarray] = []
         for batch in batches:
-            docs += batch.column(1).to_pylist()
-            places += batch.column(2).to_pylist()
+            for blob in batch.column(1).to_pylist():
+                doc, *rest = spread(blob, columns)
+                docs.append(doc)
+                places.append((rest[0] if columns == 1 else (rest[0] << 32) | rest[1]).astype(kind))
         if docs:
-            yield by_document(np.frombuffer(b"".join(docs), "<i8"), np.frombuffer(b"".join(places), kind), kind)
+            yield by_document(np.concatenate(docs), np.concatenate(places), kind)
 
     return told.repartitionById(parts, F.col("part")).mapInArrow(run, FOUND)
 

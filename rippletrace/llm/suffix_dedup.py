@@ -21,7 +21,17 @@ from pyspark.sql import functions as F
 
 from rippletrace.llm import hashing
 from rippletrace.llm.common import chunked, partitions, session, typed
-from rippletrace.llm.exchange import PACKED, TOLD, assembled, by_part, packed_rows, places_of, resolved
+from rippletrace.llm.exchange import (
+    PACKED,
+    TOLD,
+    assembled,
+    by_part,
+    packed_rows,
+    places_of,
+    resolved,
+    spread,
+    squeezed,
+)
 from rippletrace.llm.substring_dedup import first_of_equal
 
 CHUNK = 1 << 20
@@ -29,17 +39,12 @@ CHUNK = 1 << 20
 ANCHOR = 0.48
 SHALLOW = 32
 
-SEGMENTS = "part int, told boolean, docs binary, starts binary, counts binary, data binary"
+SEGMENTS = "part int, told boolean, shelf int, where binary, data binary"
 SEGMENTS_TYPE = pa.schema(
-    [
-        ("part", pa.int32()),
-        ("told", pa.bool_()),
-        ("docs", pa.binary()),
-        ("starts", pa.binary()),
-        ("counts", pa.binary()),
-        ("data", pa.binary()),
-    ]
+    [("part", pa.int32()), ("told", pa.bool_()), ("shelf", pa.int32()), ("where", pa.binary()), ("data", pa.binary())]
 )
+#: A partition's segments lie on so many shelves by their anchor; one shelf is sorted at a time.
+SHELVES = 8
 
 
 class Chunk:
@@ -138,24 +143,22 @@ def segments(docs: DataFrame, length: int, parts: int) -> DataFrame:
                     {
                         "part": int(doc[told][0] % parts),
                         "told": True,
-                        "docs": doc[told].tobytes(),
-                        "starts": place[told].astype("<i4").tobytes(),
-                        "counts": count[told].astype("<i4").tobytes(),
+                        "shelf": 0,
+                        "where": squeezed(doc[told], place[told], count[told]),
                         "data": b"",
                     }
                 )
             left = np.flatnonzero(~told)
-            part = ((c.gram[anchor[left]] >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            for g in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            slot = ((c.gram[anchor[left]] >> np.uint64(33)) % np.uint64(parts * SHELVES)).astype(np.int32)
+            order = np.argsort(slot, kind="stable")
+            for g in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1):
                 mine = left[g]
                 rows.append(
                     {
-                        "part": int(part[g[0]]),
+                        "part": int(slot[g[0]]) // SHELVES,
                         "told": False,
-                        "docs": doc[mine].tobytes(),
-                        "starts": place[mine].astype("<i4").tobytes(),
-                        "counts": count[mine].astype("<i4").tobytes(),
+                        "shelf": int(slot[g[0]]) % SHELVES,
+                        "where": squeezed(doc[mine], place[mine], count[mine]),
                         "data": press.compress(taken(c.data, start[mine], size[mine]).tobytes()),
                     }
                 )
@@ -280,71 +283,80 @@ def runs_of(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def content_hashes(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each slice, a megabyte of slices at a time."""
+    out = np.empty(len(at), dtype=np.uint64)
+    cuts = np.searchsorted(at, np.arange(0, len(text) + (1 << 20), 1 << 20))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if a < b:
+            low = at[a]
+            part = text[low : at[b - 1] + size[b - 1]]
+            sums = hashing.prefix(hashing.BYTE_VALUE[part])
+            s, n = at[a:b] - low, size[a:b]
+            out[a:b] = hashing.mixed((sums[s + n] - sums[s]) * hashing.powers(len(part))[1][s] + n.astype(np.uint64))
+    return out
+
+
+def removed_starts(
+    doc: np.ndarray, start: np.ndarray, count: np.ndarray, text: np.ndarray, length: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs (document, start, count) of string starts that a smaller document of these segments also has."""
+    size = count + length - 1
+    at = np.cumsum(size) - size
+    # equal segments merge; the class's least document stands for it
+    lead = first_of_equal(content_hashes(text, at, size))
+    owner = doc.copy()
+    np.minimum.at(owner, lead, doc)
+    distinct = np.flatnonzero(lead == np.arange(len(lead)))
+    n = count[distinct]
+    base = np.cumsum(n) - n
+    suffix = np.repeat(at[distinct] - base, n) + np.arange(n.sum())
+    least = deep_shallow(text, suffix, np.repeat(owner[distinct], n), length)
+    del suffix
+    # back to every segment: its starts that a smaller document holds
+    number = np.empty(len(lead), dtype=np.int64)
+    number[distinct] = np.arange(len(distinct))
+    number = number[lead]
+    slot = base[number]
+    some = np.flatnonzero(np.minimum.reduceat(least, base)[number] < doc)
+    for a in range(0, len(some), 20_000):
+        mine = some[a : a + 20_000]
+        c = count[mine]
+        ends = np.cumsum(c)
+        which = np.repeat(np.arange(len(mine)), c)
+        inner = np.arange(ends[-1]) - (ends - c)[which]
+        gone = least[slot[mine][which] + inner] < doc[mine][which]
+        first = gone.copy()
+        first[1:] &= ~gone[:-1] | (which[1:] != which[:-1])
+        last = gone.copy()
+        last[:-1] &= ~gone[1:] | (which[1:] != which[:-1])
+        f, e = np.flatnonzero(first), np.flatnonzero(last)
+        if len(f):
+            yield doc[mine][which[f]], start[mine][which[f]] + inner[f], e - f + 1
+
+
 def sort_segments(packed: DataFrame, length: int, parts: int) -> DataFrame:
     """Runs of removed string starts (start << 32 | count), told to the documents' partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, starts, counts, data = [], [], [], []
+        shelves: list[list[tuple[bytes, bytes]]] = [[] for _ in range(SHELVES)]
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            for told, *blob in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
-                d, s, n = np.frombuffer(blob[0], "<i8"), np.frombuffer(blob[1], "<i4"), np.frombuffer(blob[2], "<i4")
+            for told, shelf, where, data in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 if told:
-                    yield by_part(d, (s.astype(np.int64) << 32) | n, parts, "<i8")
+                    yield by_part(parts, *spread(where, 2))
                 else:
-                    docs.append(d)
-                    starts.append(s)
-                    counts.append(n)
-                    data.append(unpress.decompress(blob[3]))
-        if not docs:
-            return
-        doc, start, count = np.concatenate(docs), np.concatenate(starts).astype(np.int64), np.concatenate(counts)
-        text = np.frombuffer(b"".join(data), np.uint8)
-        data.clear()
-        count = count.astype(np.int64)
-        size = count + length - 1
-        at = np.cumsum(size) - size
-        # equal segments merge; the class's least document stands for it
-        sums = hashing.prefix(hashing.BYTE_VALUE[text])
-        content = hashing.mixed(
-            (sums[at + size] - sums[at]) * hashing.powers(len(text))[1][at] + size.astype(np.uint64)
-        )
-        del sums
-        lead = first_of_equal(content)
-        owner = doc.copy()
-        np.minimum.at(owner, lead, doc)
-        distinct = np.flatnonzero(lead == np.arange(len(lead)))
-        n = count[distinct]
-        base = np.cumsum(n) - n
-        suffix = np.repeat(at[distinct] - base, n) + np.arange(n.sum())
-        least = deep_shallow(text, suffix, np.repeat(owner[distinct], n), length)
-        # back to every segment: its starts that a smaller document holds
-        slot = np.empty(len(lead), dtype=np.int64)
-        slot[distinct] = base
-        slot = slot[lead]
-        low = np.minimum.reduceat(least, base)
-        number = np.empty(len(lead), dtype=np.int64)
-        number[distinct] = np.arange(len(distinct))
-        some = np.flatnonzero(low[number[lead]] < doc)
-        for a in range(0, len(some), 100_000):
-            mine = some[a : a + 100_000]
-            c = count[mine]
-            ends = np.cumsum(c)
-            which = np.repeat(np.arange(len(mine)), c)
-            inner = np.arange(ends[-1]) - (ends - c)[which]
-            gone = least[slot[mine][which] + inner] < doc[mine][which]
-            first = gone.copy()
-            first[1:] &= ~gone[:-1] | (which[1:] != which[:-1])
-            last = gone.copy()
-            last[:-1] &= ~gone[1:] | (which[1:] != which[:-1])
-            f, e = np.flatnonzero(first), np.flatnonzero(last)
-            if len(f):
-                yield by_part(
-                    doc[mine][which[f]], ((start[mine][which[f]] + inner[f]) << 32) | (e - f + 1), parts, "<i8"
-                )
+                    shelves[shelf].append((where, data))
+        for held in shelves:
+            if held:
+                doc, start, count = (np.concatenate(x) for x in zip(*(spread(w, 2) for w, _ in held), strict=True))
+                text = np.frombuffer(b"".join(unpress.decompress(d) for _, d in held), np.uint8)
+                held.clear()
+                for runs in removed_starts(doc, start, count, text, length):
+                    yield by_part(parts, *runs)
 
     told = packed.repartitionById(parts, F.col("part")).mapInArrow(run, TOLD)
-    return assembled(told, parts, "<i8")
+    return assembled(told, parts, columns=2)
 
 
 def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
