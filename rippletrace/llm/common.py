@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -92,6 +93,16 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Itera
         size = total
     if held:
         yield joined(held)
+    del held
+    released()
+
+
+def released() -> None:
+    """Give memory that a task no longer needs back to the system: idle Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.llm import hashing
+from rippletrace.llm.common import released
 
 PACKED = "part int, settled boolean, keys binary, where binary"
 PACKED_TYPE = pa.schema(
@@ -161,6 +162,8 @@ def resolved(
             found = decide(keys, docs, places)
             if found.any():
                 yield by_part(parts, docs[found], places[found])
+            del keys, docs, places, order, again, same, sorted_keys, found
+            released()
 
     return assembled(packed.repartitionById(parts, F.col("part")).mapInArrow(run, TOLD), parts)
 
@@ -182,6 +185,9 @@ def assembled(told: DataFrame, parts: int, columns: int = 1) -> DataFrame:
                 places.append((rest[0] if columns == 1 else (rest[0] << 32) | rest[1]).astype(kind))
         if docs:
             yield by_document(np.concatenate(docs), np.concatenate(places), kind)
+            docs.clear()
+            places.clear()
+            released()
 
     return told.repartitionById(parts, F.col("part")).mapInArrow(run, FOUND)
 

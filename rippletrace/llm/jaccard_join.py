@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.llm import hashing
-from rippletrace.llm.common import chunked, partitions, session, stored
-from rippletrace.llm.graph import EDGE, EDGE_TYPE, components, contracted, forest
+from rippletrace.llm.common import chunked, partitions, released, session, stored
+from rippletrace.llm.graph import EDGE, EDGE_TYPE, components, forest
 
 CHUNK = 1 << 20
 #: A part with fewer shingles says little; it is used only by sets with fewer than FEW stronger parts.
@@ -173,6 +173,8 @@ def shared_parts(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame
         if len(a):
             a, b = forest(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=EDGE_TYPE)
+        del held, keys, docs, order, same, other
+        released()
 
     packed = docs.mapInArrow(split, "part int, keys binary, docs binary")
     return packed.repartitionById(parts, F.col("part")).mapInArrow(meet, EDGE)
@@ -224,7 +226,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     parts = partitions(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = stored(shingle_sets(slim, k), "sets")
-    groups = stored(components(shared_parts(slim, k, percent, parts)), "groups")
+    groups = stored(components(shared_parts(slim, k, percent, parts), contract=False), "groups")
 
     # one document of each class in a group, and how many blocks its group needs
     classes = (
@@ -283,7 +285,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         )
 
     links = units.groupBy("component", "i", "j").applyInArrow(compare, EDGE)
-    joined = components(links)
+    joined = components(links, contract=False)
     named = sets.join(joined, sets["digest"] == joined["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "digest").alias("class")
     )

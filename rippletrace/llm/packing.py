@@ -38,15 +38,17 @@ def encoder(path: str, special: str = "<|endoftext|>") -> Callable[[str], np.nda
     import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]["vocab"]
-    specials = {t.content for t in whole.get_added_tokens_decoder().values()} | {special}
+        file = json.load(f)
+    model = file["model"]["vocab"]
+    specials = {t["content"] for t in file.get("added_tokens", [])} | {special}
+    whole: list[Tokenizer] = []  # loaded only where a text needs it
     # the visible stand-ins that byte-level vocabularies use for the 256 bytes
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     shown = {chr(b): b for b in plain}
     shown |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(shown[c] for c in token): i for token, i in model.items() if token not in specials}
+    del file, model
     import public_tokenizers
 
     fast = tiktoken.Encoding(
@@ -55,7 +57,9 @@ def encoder(path: str, special: str = "<|endoftext|>") -> Callable[[str], np.nda
 
     def encode(text: str) -> np.ndarray:
         if any(s in text for s in specials):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            if not whole:
+                whole.append(Tokenizer.from_file(path))
+            return np.array(whole[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(fast.encode_ordinary(text), dtype="<u4")
 
     return encode

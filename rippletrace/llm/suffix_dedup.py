@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.llm import hashing
-from rippletrace.llm.common import chunked, partitions, session, typed
+from rippletrace.llm.common import chunked, partitions, released, session, typed
 from rippletrace.llm.exchange import (
     PACKED,
     TOLD,
@@ -354,6 +354,7 @@ def sort_segments(packed: DataFrame, length: int, parts: int) -> DataFrame:
                 held.clear()
                 for runs in removed_starts(doc, start, count, text, length):
                     yield by_part(parts, *runs)
+        released()
 
     told = packed.repartitionById(parts, F.col("part")).mapInArrow(run, TOLD)
     return assembled(told, parts, columns=2)
