@@ -106,6 +106,28 @@ def by_part(parts: int, docs: np.ndarray, *columns: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_pylist(rows, schema=TOLD_TYPE)
 
 
+class Telling:
+    """Collects what documents are told, and packs it by their partition a million entries at a time."""
+
+    def __init__(self, parts: int, most: int = 1_000_000) -> None:
+        self.parts, self.most = parts, most
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, docs: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((docs, *columns))
+        self.size += len(docs)
+        if self.size >= self.most:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            joined = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+            self.held.clear()
+            self.size = 0
+            yield by_part(self.parts, *joined)
+
+
 def by_document(docs: np.ndarray, places: np.ndarray, kind: str) -> pa.RecordBatch:
     """One row per document with its places."""
     order = np.argsort(docs, kind="stable")
@@ -132,6 +154,7 @@ def resolved(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        telling = Telling(parts)
         held: list[bytes] = []
         docs_of: list[np.ndarray] = []
         places_of_docs: list[np.ndarray] = []
@@ -139,7 +162,7 @@ def resolved(
             for done, blob, where in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
                 docs, places = spread(where, 1)
                 if done:
-                    yield by_part(parts, docs, places)
+                    yield from telling.add(docs, places)
                 else:
                     held.append(blob)
                     docs_of.append(docs)
@@ -160,10 +183,10 @@ def resolved(
             order = np.lexsort((places, docs, keys))
             keys, docs, places = keys[order], docs[order], places[order]
             found = decide(keys, docs, places)
-            if found.any():
-                yield by_part(parts, docs[found], places[found])
+            yield from telling.add(docs[found], places[found])
             del keys, docs, places, order, again, same, sorted_keys, found
-            released()
+        yield from telling.rest()
+        released()
 
     return assembled(packed.repartitionById(parts, F.col("part")).mapInArrow(run, TOLD), parts)
 

@@ -24,8 +24,8 @@ from rippletrace.llm.common import chunked, partitions, released, session, typed
 from rippletrace.llm.exchange import (
     PACKED,
     TOLD,
+    Telling,
     assembled,
-    by_part,
     packed_rows,
     places_of,
     resolved,
@@ -339,12 +339,13 @@ def sort_segments(packed: DataFrame, length: int, parts: int) -> DataFrame:
     """Runs of removed string starts (start << 32 | count), told to the documents' partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        telling = Telling(parts)
         shelves: list[list[tuple[bytes, bytes]]] = [[] for _ in range(SHELVES)]
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             for told, shelf, where, data in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 if told:
-                    yield by_part(parts, *spread(where, 2))
+                    yield from telling.add(*spread(where, 2))
                 else:
                     shelves[shelf].append((where, data))
         for held in shelves:
@@ -353,7 +354,8 @@ def sort_segments(packed: DataFrame, length: int, parts: int) -> DataFrame:
                 text = np.frombuffer(b"".join(unpress.decompress(d) for _, d in held), np.uint8)
                 held.clear()
                 for runs in removed_starts(doc, start, count, text, length):
-                    yield by_part(parts, *runs)
+                    yield from telling.add(*runs)
+        yield from telling.rest()
         released()
 
     told = packed.repartitionById(parts, F.col("part")).mapInArrow(run, TOLD)
