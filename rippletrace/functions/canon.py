@@ -15,6 +15,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Canonical text of parameters may have this many characters; beyond the second a warning is due.
 PARAMS_MOST, PARAMS_LARGE = 50_000, 10_000
@@ -90,19 +91,19 @@ def file_hash(path: str, content: bytes) -> str:
     return hashlib.sha256(content).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_a(texts: pd.Series) -> pd.Series:
     """Variant A of JSON text; null stays null, what has no canonical form fails the query."""
     return texts.map(lambda t: None if t is None else strict(json.loads(t)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_b(texts: pd.Series) -> pd.Series:
     """Variants B and C of JSON text."""
     return texts.map(lambda t: None if t is None else plain(json.loads(t)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_or_error(texts: pd.Series) -> pd.Series:
     """Variant A, or ``!`` and the reason why there is none."""
 
@@ -117,7 +118,7 @@ def canonical_or_error(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """NFC form of text."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rippletrace.functions.canon import canonical_a, canonical_b, canonical_or_error
 from rippletrace.sources import bundles as S
@@ -102,7 +103,7 @@ def first_violations(found: DataFrame) -> DataFrame:
     return found.groupBy("bundle").agg(F.min_by(F.struct("rule", "code", "message"), F.struct("rule", "position", "message")).alias("v")).select("bundle", "v.*")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fingerprint(plan: pd.Series, steps: pd.Series, inputs: pd.Series, outputs: pd.Series) -> pd.Series:
     from rippletrace.functions.canon import digest
 
@@ -176,7 +177,7 @@ def legacy_graph_edges(files: DataFrame) -> DataFrame:
     return into.unionByName(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without_hash(texts: pd.Series) -> pd.Series:
     from rippletrace.functions.canon import plain, sha256
 

@@ -535,3 +535,238 @@ def lineage_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = L.tables_of(edges).select("pair_id", "id", F.lit("table").alias("kind"), none.alias("inputs"), none.alias("outputs"), F.lit(None).cast("string").alias("producer"), none.alias("consumers"))
     found = L.violations(steps.unionByName(tables), edges)
     return found.filter("name = 'unknown edge end'").select("name", "element").distinct()
+
+
+# ---- schemas, values, steps, hashes, chains ----------------------------------------
+
+_COLUMNS_A = [("orders", "o_orderkey", "int"), ("orders", "o_clerk", "string"), ("orders", "o_total", "decimal"), ("part", "p_size", "int")]
+_COLUMNS_B = [("orders", "o_orderkey", "int"), ("orders", "o_total", "string"), ("orders", "o_comment", "string"), ("part", "p_size", "int"), ("supplier", "s_name", "string")]
+_values = lambda rows: ", ".join(f"('{t}', '{c}', '{k}')" for t, c, k in rows)
+
+
+@query(
+    "schema_evidence_diff",
+    f"""WITH a(t, c, k) AS (VALUES {_values(_COLUMNS_A)}), b(t, c, k) AS (VALUES {_values(_COLUMNS_B)})
+    SELECT coalesce(a.t, b.t) AS "table", coalesce(a.c, b.c) AS "column", CASE WHEN b.c IS NULL THEN 'COLUMN_REMOVED' WHEN a.c IS NULL THEN 'COLUMN_ADDED'
+      ELSE 'COLUMN_TYPE_CHANGED' END AS change_type, a.k AS old_value, b.k AS new_value
+    FROM a FULL OUTER JOIN b ON a.t = b.t AND a.c = b.c WHERE a.k IS DISTINCT FROM b.k""",
+)
+def schema_evidence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ddl = "table string, column string, type string"
+    one = lambda rows: spark.createDataFrame(rows, ddl).withColumn("pair_id", F.lit("p"))
+    return C.column_changes(one(_COLUMNS_A), one(_COLUMNS_B)).drop("pair_id")
+
+
+_HALF = "CASE WHEN o_orderdate < TIMESTAMP '1998-04-25' THEN 'a' ELSE 'b' END"
+_PROFILE = f"""WITH cells AS (
+    SELECT {_HALF} AS "group", 'o_orderpriority' AS "column", o_orderpriority AS value FROM orders
+    UNION ALL SELECT {_HALF}, 'o_orderstatus', o_orderstatus FROM orders
+    UNION ALL SELECT {_HALF}, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders),
+  counted AS (SELECT "group", "column", value, count(*) AS n FROM cells GROUP BY 1, 2, 3),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY "group", "column" ORDER BY n DESC, value) AS r FROM counted WHERE value IS NOT NULL),
+  profile AS (SELECT c."group", c."column", count(c.value) AS unique_count, coalesce(CAST(sum(CASE WHEN c.value IS NULL THEN c.n END) AS BIGINT), 0) AS null_count,
+    CAST(sum(c.n) AS BIGINT) AS row_count, min(c.value) AS min, max(c.value) AS max,
+    (SELECT string_agg(r.value || '=' || CAST(r.n AS VARCHAR), ';' ORDER BY r.r) FROM ranked r WHERE r."group" = c."group" AND r."column" = c."column" AND r.r <= 5) AS top
+    FROM counted c GROUP BY 1, 2)"""
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rippletrace.operators.evidence import column_profile
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    half = F.when(F.col("o_orderdate") < F.lit("1998-04-25").cast("timestamp_ntz"), "a").otherwise("b")
+    return column_profile(orders.withColumn("half", half), ["o_orderpriority", "o_orderstatus", "o_custkey"], "half")
+
+
+@query("column_profile", _PROFILE + " SELECT * FROM profile")
+def column_profile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = F.array_join(F.transform(F.arrays_zip(F.col("top_values").alias("v"), F.col("top_counts").alias("n")), lambda x: F.concat(x["v"], F.lit("="), x["n"].cast("string"))), ";")
+    return _profile(spark, sf_dir).withColumn("top", joined).drop("top_values", "top_counts")
+
+
+@query(
+    "value_evidence",
+    _PROFILE
+    + """, shown AS (SELECT p."group", p."column", p.unique_count, p.null_count,
+      (SELECT string_agg('"' || r.value || '"(' || CAST(r.n AS VARCHAR) || ')', '; ' ORDER BY r.r) FROM ranked r WHERE r."group" = p."group" AND r."column" = p."column" AND r.r <= 5) AS top FROM profile p)
+    SELECT a."column" AS var_id, 'column_stats' AS kind, 'unique ' || CAST(a.unique_count AS VARCHAR) || '->' || CAST(b.unique_count AS VARCHAR) || ', nulls ' || CAST(a.null_count AS VARCHAR)
+      || '->' || CAST(b.null_count AS VARCHAR) || ', top: ' || a.top || ' -> ' || b.top AS summary
+    FROM shown a JOIN shown b ON a."column" = b."column" WHERE a."group" = 'a' AND b."group" = 'b'""",
+)
+def value_evidence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rippletrace.operators.evidence import STATS, value_evidence
+
+    p = stored(_profile(spark, sf_dir), "profile")
+    none = F.lit(None).cast("string")
+    stats = F.struct("unique_count", "null_count", "row_count", "min", "max", none.alias("constant_value"), "top_values", "top_counts").cast(STATS)
+    side = lambda g: p.filter(F.col("group") == g).select(F.lit("p").alias("pair_id"), F.lit("orders").alias("table"), "column", stats.alias("stats"))
+    changed = side("a").select("pair_id", F.col("column").alias("var_id"), "table", "column")
+    return value_evidence(changed, side("a"), side("b")).select("var_id", "kind", "summary")
+
+
+_STEPS = [
+    ("filter", {"predicate": {"type": "binop", "op": ">", "left": {"type": "col", "name": "l_quantity"}, "right": {"type": "lit", "value": 10}}}),
+    ("rename", {"mapping": {"l_returnflag": "flag"}}),
+    (
+        "compute",
+        {
+            "assignments": [
+                {"target": "size", "expr": {"type": "if", "cond": {"type": "binop", "op": ">=", "left": {"type": "col", "name": "l_quantity"}, "right": {"type": "lit", "value": 30}}, "then": {"type": "lit", "value": "large"}, "else": {"type": "lit", "value": "small"}}},
+                {"target": "qty", "expr": {"type": "call", "name": "int", "args": [{"type": "col", "name": "l_quantity"}]}},
+            ]
+        },
+    ),
+    ("select", {"cols": ["l_orderkey", "flag", "size", "qty"]}),
+    ("sort", {"by": ["l_orderkey", "size"], "nodupkey": True}),
+    ("aggregate", {"class": ["flag", "size"], "var": ["qty"], "stats": ["sum", "min", "max", "n"]}),
+]
+
+
+@query(
+    "step_pipeline",
+    """WITH c AS (SELECT l_orderkey, l_returnflag AS flag, CASE WHEN l_quantity >= 30 THEN 'large' ELSE 'small' END AS size, CAST(trunc(l_quantity) AS INTEGER) AS qty
+      FROM lineitem WHERE l_quantity > 10),
+    d AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, size ORDER BY flag, qty) AS rn FROM c)
+    SELECT flag, size, CAST(sum(qty) AS BIGINT) AS qty_sum, min(qty) AS qty_min, max(qty) AS qty_max, count(qty) AS qty_n FROM d WHERE rn = 1 GROUP BY flag, size""",
+)
+def step_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rippletrace.plans.steps import run_all
+
+    return run_all(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), _STEPS)
+
+
+@query(
+    "params_hash",
+    with_views("v2_elements") + " SELECT id, 'sha256:' || sha256(CASE WHEN params LIKE '%\"new\"%' THEN params ELSE params END) AS params_hash FROM v2_elements WHERE params IS NOT NULL",
+)
+def params_hash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rippletrace.functions.canon import params_hash_of
+
+    e = Workload(spark, sf_dir).view("v2_elements").filter("params IS NOT NULL")
+    # the same objects, written with spaces and keys the other way round
+    loose = F.regexp_replace(F.regexp_replace("params", r'^\{("k":\d+),("new":1)\}$', "{ $2 , $1 }"), ":", " : ")
+    return e.select("id", params_hash_of(loose).alias("params_hash"))
+
+
+@query(
+    "step_ids",
+    _G + """, listed AS (SELECT s.id, s.transform_id, coalesce(i.ins, []) AS ins, coalesce(i.outs, []) AS outs FROM g1_steps s JOIN io1 i ON i.id = s.id)
+      SELECT id, sha256('{"inputs":[' || array_to_string(list_transform(ins, lambda x: '"' || x || '"'), ',') || '],"outputs":['
+        || array_to_string(list_transform(outs, lambda x: '"' || x || '"'), ',') || '],"transform_id":"' || transform_id || '"}') AS step_id FROM listed""",
+)
+def step_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rippletrace.operators.verify import step_id_of
+
+    return Workload(spark, sf_dir).steps(1).select("id", step_id_of(F.col("transform_id"), F.col("inputs"), F.col("outputs")).alias("step_id"))
+
+
+@query(
+    "hash_chain_check",
+    """WITH h AS (SELECT conv_id, turn, sha256(coalesce(role, '') || '|' || coalesce(text, '')) AS hash FROM conversations)
+      SELECT a.conv_id, a.turn, a.hash, b.hash AS parent_hash FROM h a LEFT JOIN h b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1""",
+)
+def hash_chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rippletrace.operators.verify import chain_of_rows
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    content = F.concat(F.coalesce("role", F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))
+    return chain_of_rows(rows, "conv_id", "turn", content)
+
+
+@query("nfc_normalised_text_hash", "SELECT doc_id, sha256(nfc_normalize(text)) AS hash FROM documents")
+def nfc_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rippletrace.functions.canon import nfc
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs.select("doc_id", F.sha2(nfc("text"), 256).alias("hash"))
+
+
+@query("reason_histogram", f"{_IMPACT} SELECT reason, count(*) AS n FROM impacted GROUP BY reason")
+def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rippletrace.operators.report import reason_histogram as histogram
+
+    return histogram(_impact(spark, sf_dir)[4]).select("reason", "n")
+
+
+_WITNESS = _IMPACT.replace("WITH RECURSIVE", "WITH RECURSIVE", 1) + """,
+ ways AS (SELECT o.event_seq, o.node AS origin, o.node AS node, 0 AS d, o.node AS path FROM origins o
+   UNION SELECT w.event_seq, w.origin, i.id, w.d + 1, w.path || ' > ' || i.id FROM ways w JOIN v1_inputs i ON i.input = w.node
+     WHERE w.event_seq IN (SELECT event_seq FROM impacted WHERE reason = 'TRANSITIVE_DEPENDENCY')),
+ ranked AS (SELECT i.var_id, w.origin, w.d, row_number() OVER (PARTITION BY i.var_id ORDER BY w.d, w.path) AS rn
+   FROM impacted i JOIN ways w ON w.node = i.var_id AND w.event_seq = i.event_seq WHERE i.reason = 'TRANSITIVE_DEPENDENCY'),
+ lacks AS (SELECT i.id AS var_id, list_sort(list(DISTINCT i.input)) AS gone FROM v1_inputs i JOIN event_log l ON l.element_id = i.input
+   AND l.change_type IN ('SOURCE_REMOVED', 'DERIVED_REMOVED', 'CONSTRAINT_REMOVED') GROUP BY i.id),
+ wit AS (SELECT i.var_id, i.reason, CASE WHEN i.reason = 'TRANSITIVE_DEPENDENCY' THEN r.d WHEN i.reason = 'MISSING_INPUT' THEN 1 ELSE 0 END AS distance,
+   CASE WHEN i.reason = 'TRANSITIVE_DEPENDENCY' THEN [r.origin] WHEN i.reason = 'MISSING_INPUT' THEN list_slice(l.gone, 1, 16) ELSE [i.var_id] END AS roots
+   FROM impacted i LEFT JOIN ranked r ON r.var_id = i.var_id AND r.rn = 1 LEFT JOIN lacks l ON l.var_id = i.var_id)"""
+
+
+def _witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rippletrace.operators import report as R
+
+    w, v1, v2, events, found = _impact(spark, sf_dir, with_paths=True)
+    none = spark.createDataFrame([], "pair_id string, var_id string, sources array<string>")
+    refs = I.missing_refs(v1, v2, w.transforms(2)).select("pair_id", "var_id").join(v2.select("pair_id", F.col("id").alias("var_id"), "transform_ref"), ["pair_id", "var_id"])
+    return R.witnesses(found, I.unresolved(v1, events), v1, v2, R.event_index(events), R.issue_index(none, none, refs))
+
+
+@query("witness_distance", _WITNESS + " SELECT var_id, reason, CAST(distance AS INTEGER) AS distance, array_to_string(roots, ',') AS root_cause_ids FROM wit")
+def witness_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _witnesses(spark, sf_dir).select("var_id", "reason", "distance", F.array_join("root_cause_ids", ",").alias("root_cause_ids"))
+
+
+@query("top_root_causes", _WITNESS + " SELECT id, count(*) AS impacted_count FROM (SELECT unnest(roots) AS id FROM wit) GROUP BY id ORDER BY impacted_count DESC, id LIMIT 50")
+def top_root_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rippletrace.operators.report import top_root_causes as top
+
+    return top(_witnesses(spark, sf_dir)).select("id", "impacted_count")
+
+
+@query(
+    "validation_issues",
+    with_views("v1_elements", "v1_inputs", "v2_elements", "v2_transforms", "v2_bindings", "raw_columns")
+    + f""", {_MISSING_B.replace('v2_inputs', 'v1_inputs')}
+    SELECT 'MISSING_INPUT' AS code, 'error' AS severity, i.input AS missing_id, CAST(NULL AS VARCHAR) AS raw_column, count(*) AS n FROM (SELECT DISTINCT input FROM v1_inputs i
+      WHERE i.id IN (SELECT id FROM v2_elements) AND i.input NOT IN (SELECT id FROM v2_elements)) i GROUP BY i.input
+    UNION ALL SELECT 'MISSING_TRANSFORM_REF', 'error', NULL, NULL, count(*) FROM v2_elements WHERE kind = 'derived' AND transform_ref NOT IN (SELECT id FROM v2_transforms)
+    UNION ALL SELECT 'MISSING_BINDING', 'warning', NULL, NULL, count(*) FROM v1_inputs i WHERE i.id IN (SELECT id FROM v2_elements WHERE kind = 'derived') AND i.input LIKE 's:%'
+      AND i.input NOT IN (SELECT source_id FROM v2_bindings)
+    UNION ALL SELECT 'AMBIGUOUS_BINDING', 'warning', NULL, NULL, count(*) FROM amb
+    UNION ALL SELECT 'INVALID_RAW_COLUMN', 'warning', NULL, raw_column, 1 FROM v2_bindings WHERE raw_column NOT IN (SELECT name FROM raw_columns)""",
+)
+def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of version 2 with version 1's inputs, counted."""
+    from rippletrace.operators.validate import issues
+
+    w = Workload(spark, sf_dir)
+    old = w.elements(1).select("pair_id", "id", "inputs")
+    mixed = stored(w.elements(2).drop("inputs").join(old, ["pair_id", "id"], "left"), "mixed")
+    found = issues(mixed, w.transforms(2), w.bindings(2), w.raw_columns())
+    return found.groupBy("code", "severity", "missing_id", "raw_column").agg(F.count("*").alias("n"))
+
+
+@query(
+    "change_events_by_window",
+    "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+)
+def change_events_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windowed count of the streaming extension, over the stored event table."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy(F.window(F.col("ts"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@query("impact_batch")
+def impact_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small pairs at once, each closed inside one task: one comparison per customer segment."""
+    w = Workload(spark, sf_dir)
+    customers = w.table("customer").select(F.concat(F.lit("d:C"), F.col("c_custkey").cast("string")).alias("cid"), F.col("c_nationkey"))
+    orders = w.table("orders").select(F.concat(F.lit("d:O"), F.col("o_orderkey").cast("string")).alias("oid"), F.concat(F.lit("d:C"), F.col("o_custkey").cast("string")).alias("cid"))
+    mine = orders.join(customers, "cid").select(F.col("oid").alias("id"), F.concat(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("pair"))
+    mine = mine.union(customers.select("cid", F.concat(F.lit("nation"), F.col("c_nationkey").cast("string"))))
+
+    def side(n: int) -> DataFrame:
+        return w.elements(n).join(mine, "id").drop("pair_id").withColumnRenamed("pair", "pair_id").select("pair_id", "kind", "id", "name", "type", "transform_ref", "params_hash", "inputs", "expression")
+
+    v1, v2 = stored(side(1), "v1"), stored(side(2), "v2")
+    events = stored(C.ordered(C.spec_changes(v1, v2)), "events")
+    return I.impact(v1, v2, events, with_paths=True, batch=True).select("pair_id", "var_id", "reason", "event_seq", text_path().alias("path"))
