@@ -103,6 +103,19 @@ def canonical_b(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else plain(json.loads(t)))
 
 
+@F.pandas_udf(StringType())
+def canonical_file(texts: pd.Series) -> pd.Series:
+    """Variant C of a file's text; null for what is no JSON."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else plain(json.loads(t))
+        except ValueError:
+            return None
+
+    return texts.map(one)
+
+
 @F.pandas_udf(StringType())
 def canonical_or_error(texts: pd.Series) -> pd.Series:
     """Variant A, or ``!`` and the reason why there is none."""
@@ -130,9 +143,9 @@ def params_hash_of(params: Column) -> Column:
 
 
 def file_hash_of(path: Column, content: Column) -> Column:
-    """As :func:`file_hash`, for a ``binaryFile`` table."""
-    as_json = F.sha2(canonical_b(content.cast("string")), 256)
-    return F.when(path.endswith(".json"), as_json).otherwise(F.sha2(content, 256))
+    """As :func:`file_hash`, for a ``binaryFile`` table; what is named .json and is none counts by its bytes."""
+    as_json = canonical_file(F.when(path.endswith(".json"), content.cast("string")))
+    return F.coalesce(F.sha2(as_json, 256), F.sha2(content, 256))
 
 
 def normalised_digest(value: Column) -> Column:
