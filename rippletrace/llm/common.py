@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rippletrace.runtime import discard, shared_dir, stored
+
+__all__ = ["chunked", "discard", "joined", "partitions", "released", "session", "shared_dir", "stored", "texts", "typed"]
+
 #: Rows an Arrow batch may hold on its way to a Python worker. Whole texts travel
 #: in these batches, so the default of 10 000 rows would not bound memory.
 ARROW_ROWS = 1024
@@ -31,41 +33,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="rippletrace-"))
-        found = sc._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
 def typed(df: DataFrame, name: str, kind: str) -> Column:
     """A column as ``kind``; untouched if it has that type, so that equal plans stay equal."""
     return F.col(name) if df.schema[name].dataType.simpleString() == kind else F.col(name).cast(kind).alias(name)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rippletrace-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`stored` that nothing will read again."""
-    path = getattr(df, "_stored_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -34,9 +34,8 @@ def signatures(x: np.ndarray, tables: int, cells: int, width: float, seed: int)
     rng = np.random.default_rng(seed)
     directions = rng.standard_normal((x.shape[1], tables * cells))
     shifts = rng.random(tables * cells) * width
-    unit = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(
-        axis=1, keepdims=True
-    )
+    scaled = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows
+    unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
     cell = np.floor((unit @ directions + shifts) / width).astype(np.int64).view(np.uint64)
     out = np.empty((len(x), tables), dtype=np.uint64)
     for t in range(tables):

@@ -2,9 +2,10 @@
 
 A document's shingles are XOR-hashed into a sketch whose Hamming distance never exceeds
 the symmetric difference of two sets. A similarity threshold bounds that difference by
-the two sizes, so inside a band of sizes the sketch is cut into one more part than there
-can be differences: similar sets agree on a whole part (pigeonhole) and meet by equality
-of it. Groups of documents that share parts are then compared exactly.
+the two sizes, so inside a band of sizes the sketch is cut into two more parts than there
+can be differences: similar sets agree on two whole parts (pigeonhole) and meet by
+equality of one that is well filled or of both. Groups of documents that share parts are
+then compared exactly.
 
 Equal sets are one class from the start (their digest), so copies never form pairs.
 """
@@ -12,6 +13,7 @@ Equal sets are one class from the start (their digest), so copies never form pai
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,10 @@ from rippletrace.llm.common import chunked, partitions, released, session, store
 from rippletrace.llm.graph import EDGE, EDGE_TYPE, components, forest
 
 CHUNK = 1 << 20
-#: A part with fewer shingles says little; it is used only by sets with fewer than FEW stronger parts.
-#: A similar pair agrees on a third of its parts, so FEW strong parts miss it with a chance below 1e-9.
-WEAK, FEW = 4, 24
+#: A part with fewer shingles says little: by itself, an empty one would join a whole size band. Weak parts
+#: count in pairs, and only where a set has fewer than FEW stronger ones: similar sets agree on a third of
+#: their parts at the least, so FEW strong parts miss a pair at the very threshold once in three million.
+WEAK, FEW = 4, 32
 #: Shingles of a group that one task compares; larger groups are compared block by block.
 BLOCK = 1_500_000
 SKETCH_WORDS = 32
@@ -79,8 +82,14 @@ def bands(percent: int, largest: int) -> np.ndarray:
 
 
 def parts_of(bounds: np.ndarray, percent: int) -> np.ndarray:
-    """For each band as the larger set's: one part more than two similar sets can differ by."""
-    return 2 * (bounds[1:] - 1) * (100 - percent) // (100 + percent) + 1
+    """For each band as the larger set's: two parts more than two similar sets can differ by; 0 if by none."""
+    most = 2 * (bounds[1:] - 1) * (100 - percent) // (100 + percent)
+    return np.where(most > 0, most + 2, 0)  # equal sets have equal digests
+
+
+@cache
+def pairs_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
 
 
 def part_keys(s: Shingles, use: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +101,6 @@ def part_keys(s: Shingles, use: np.ndarray, percent: int) -> tuple[np.ndarray, n
     for step in (0, 1):  # as the larger set, or as the smaller one of a set in the next band
         group = band + step
         m = np.where(use, m_of[np.minimum(group, len(m_of) - 1)], 0)
-        m[m == 1] = 0  # no difference possible: equal sets have equal digests
         base = np.concatenate([[0], np.cumsum(m)])
         mine = m[s.row] > 0
         if not mine.any():
@@ -111,12 +119,17 @@ def part_keys(s: Shingles, use: np.ndarray, percent: int) -> tuple[np.ndarray, n
         number = np.arange(base[-1]) - base[owner]
         strong = count >= WEAK
         enough = np.bincount(owner, weights=strong, minlength=len(m)) >= FEW
-        chosen = strong | ~enough[owner]
         key = hashing.mixed(
             sketch + hashing.mixed((group[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64))
         )
-        keys.append(key[chosen])
-        owners.append(owner[chosen])
+        keys.append(key[strong])
+        owners.append(owner[strong])
+        weak = np.flatnonzero(~strong & ~enough[owner])
+        cuts = np.flatnonzero(np.diff(owner[weak])) + 1
+        for mine in np.split(weak, cuts) if len(weak) else ():
+            i, j = pairs_of(len(mine))
+            keys.append(hashing.mixed(key[mine[i]] * np.uint64(hashing.BASE) + key[mine[j]]))
+            owners.append(np.full(len(i), owner[mine[0]]))
     if not keys:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     return np.concatenate(keys), np.concatenate(owners)
