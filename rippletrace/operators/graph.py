@@ -22,6 +22,17 @@ PAIR_EDGES = 1_000_000
 MOST_PATHS, MORE_EDGES = 10, 9
 
 
+#: Rounds of a closure after which the tables of earlier rounds become one.
+MERGE_AFTER = 8
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def edges_of(elements: DataFrame) -> DataFrame:
     """pair_id, src, dst: an edge from each input to its consumer."""
     return elements.select("pair_id", F.explode("inputs").alias("src"), F.col("id").alias("dst"))
@@ -82,8 +93,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 1000, with_paths
     """
     start = F.array("node") if with_paths else F.array().cast("array<string>")
     label = F.struct(F.col("seq"), F.lit(0).alias("distance"), start.alias("path"))
-    state = stored(seeds.groupBy("pair_id", "node").agg(F.min(label).alias("label")), "labels")
-    frontier = state
+    frontier = stored(seeds.groupBy("pair_id", "node").agg(F.min(label).alias("label")), "labels")
+    parts = [frontier]  # each round's improvements; a node's label is the least of its rows
     for _ in range(rounds):
         after = F.struct(
             F.col("label.seq").alias("seq"),
@@ -93,21 +104,28 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 1000, with_paths
         offered = (
             frontier.withColumnRenamed("node", "src")
             .join(edges.select("pair_id", "src", "dst"), ["pair_id", "src"])
-            .select("pair_id", F.col("dst").alias("node"), after.alias("label"))
+            .select("pair_id", F.col("dst").alias("node"), after.alias("label"), F.lit(True).alias("new"))
+        )
+        known = _union(parts).withColumn("new", F.lit(False))
+        # one shuffle brings offers and known labels of a node together
+        better = (
+            offered.unionByName(known)
             .groupBy("pair_id", "node")
-            .agg(F.min("label").alias("label"))
+            .agg(F.min(F.when(F.col("new"), F.col("label"))).alias("label"), F.min(F.when(~F.col("new"), F.col("label"))).alias("had"))
+            .filter("label IS NOT NULL AND (had IS NULL OR label < had)")
+            .drop("had")
         )
-        old = state.withColumnRenamed("label", "had")
-        better = offered.join(old, ["pair_id", "node"], "left").filter("had IS NULL OR label < had").drop("had")
         frontier = stored(better, "labels")
         if frontier.isEmpty():
             discard(frontier)
             break
-        merged = (
-            state.union(frontier).groupBy("pair_id", "node").agg(F.min("label").alias("label"))
-        )
-        newer = stored(merged, "labels")
-        state = newer
+        parts.append(frontier)
+        if len(parts) > MERGE_AFTER:
+            merged = stored(_union(parts).groupBy("pair_id", "node").agg(F.min("label").alias("label")), "labels")
+            for old in parts[:-1]:
+                discard(old)
+            parts = [merged]
+    state = _union(parts).groupBy("pair_id", "node").agg(F.min("label").alias("label"))
     return state.select("pair_id", "node", "label.*")
 
 
@@ -230,29 +248,59 @@ def cyclic_core(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return now
 
 
+def least_ancestors(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """For each node the least node that reaches it, itself included: pair_id, node, color."""
+    ends = edges.select("pair_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    frontier = stored(ends.withColumn("color", F.col("node")), "colors")
+    parts = [frontier]
+    for _ in range(rounds):
+        offered = (
+            frontier.withColumnRenamed("node", "src")
+            .join(edges, ["pair_id", "src"])
+            .select("pair_id", F.col("dst").alias("node"), "color", F.lit(True).alias("new"))
+        )
+        better = (
+            offered.unionByName(_union(parts).withColumn("new", F.lit(False)))
+            .groupBy("pair_id", "node")
+            .agg(F.min(F.when(F.col("new"), F.col("color"))).alias("color"), F.min(F.when(~F.col("new"), F.col("color"))).alias("had"))
+            .filter("color < had")
+            .drop("had")
+        )
+        frontier = stored(better, "colors")
+        if frontier.isEmpty():
+            break
+        parts.append(frontier)
+        if len(parts) > MERGE_AFTER:
+            parts = [stored(_union(parts).groupBy("pair_id", "node").agg(F.min("color").alias("color")), "colors")]
+    return _union(parts).groupBy("pair_id", "node").agg(F.min("color").alias("color"))
+
+
 def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that lie on a cycle (pair_id, node): those of the core that reach themselves."""
+    """Nodes that lie on a cycle (pair_id, node).
+
+    Nodes without a way in or out are peeled off; of the rest each node takes its least
+    ancestor as its color, and what reaches that ancestor inside the color is a strongly
+    connected component. Components go, and the remainder is peeled again: work stays
+    proportional to edges and rounds, no pairs of nodes are formed.
+    """
     core = cyclic_core(edges)
-    if core.isEmpty():
-        return core.select("pair_id", F.col("src").alias("node")).limit(0)
-    starts = core.select("pair_id", F.col("src").alias("start")).distinct()
-    level = stored(core.select("pair_id", F.col("src").alias("start"), F.col("dst").alias("node")).distinct(), "cycles")
-    seen = level
-    while True:
-        step = (
-            level.withColumnRenamed("node", "src")
-            .join(core, ["pair_id", "src"])
-            .select("pair_id", "start", F.col("dst").alias("node"))
-            .distinct()
-            .join(seen, ["pair_id", "start", "node"], "left_anti")
+    found = stored(core.select("pair_id", F.col("src").alias("node")).limit(0), "cycles")
+    while not core.isEmpty():
+        color = stored(least_ancestors(core), "colors")
+        of = lambda end: color.select("pair_id", F.col("node").alias(end), F.col("color").alias(f"{end}_color"))  # noqa: B023, E731
+        inner = core.join(of("src"), ["pair_id", "src"]).join(of("dst"), ["pair_id", "dst"]).filter("src_color = dst_color")
+        inner = stored(inner.select("pair_id", "src", "dst", F.col("src_color").alias("color")), "inner")
+        members = stored(reach(inner, color.filter("node = color"), dependents=False).select("pair_id", "node"), "members")
+        # a lone member is on a cycle only by an edge to itself
+        inside = inner.join(members.withColumnRenamed("node", "src"), ["pair_id", "src"], "left_semi").join(
+            members.withColumnRenamed("node", "dst"), ["pair_id", "dst"], "left_semi"
         )
-        level = stored(step, "cycles")
-        if level.isEmpty():
-            break
-        seen = seen.union(level)
-    return seen.filter("start = node").select("pair_id", "node").join(
-        starts.withColumnRenamed("start", "node"), ["pair_id", "node"], "left_semi"
-    )
+        found = found.union(inside.select("pair_id", F.col("src").alias("node")).distinct())
+        left = core.join(members.withColumnRenamed("node", "src"), ["pair_id", "src"], "left_anti").join(
+            members.withColumnRenamed("node", "dst"), ["pair_id", "dst"], "left_anti"
+        )
+        core = cyclic_core(left)
+    return found.distinct()
 
 
 def cycle_report(edges: DataFrame) -> DataFrame:

@@ -165,46 +165,41 @@ def missing_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.missing_dependencies(mixed).select("missing_id", F.size("users").cast("long").alias("users"))
 
 
-_SEEDS = "seeds AS (SELECT id AS node FROM v1_elements WHERE id LIKE 'd:S%' AND CAST(substr(id, 4) AS BIGINT) % 17 = 0)"
-
-
-def _seeds(w: Workload) -> DataFrame:
-    chosen = w.elements(1).filter("id LIKE 'd:S%' AND CAST(substr(id, 4) AS BIGINT) % 17 = 0")
-    return chosen.select("pair_id", F.col("id").alias("node"))
-
-
 @query(
     "direct_dependents",
-    with_views("v1_elements", "v1_inputs") + f", {_SEEDS} SELECT DISTINCT s.node AS node, i.id AS other FROM seeds s JOIN v1_inputs i ON i.input = s.node",
+    with_views("v1_elements", "v1_inputs") + " SELECT DISTINCT e.id AS node, i.id AS other FROM v1_elements e JOIN v1_inputs i ON i.input = e.id",
 )
 def direct_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workload(spark, sf_dir)
-    return G.direct(w.edges(1), _seeds(w)).select("node", "other")
-
-
-_REACH = f""", {_SEEDS}, reach AS (SELECT node, 0 AS distance FROM seeds UNION SELECT i.id, r.distance + 1 FROM reach r JOIN v1_inputs i ON i.input = r.node)"""
+    return G.direct(w.edges(1), w.elements(1).select("pair_id", F.col("id").alias("node"))).select("node", "other")
 
 
 @query(
     "transitive_dependents",
-    with_views("v1_elements", "v1_inputs") + _REACH + " SELECT node, CAST(min(distance) AS INTEGER) AS distance FROM reach GROUP BY node",
+    with_views("v1_elements", "v1_inputs")
+    + """, reach AS (SELECT id AS node, 0 AS distance FROM v1_elements WHERE id LIKE 'd:S%'
+        UNION SELECT i.id, r.distance + 1 FROM reach r JOIN v1_inputs i ON i.input = r.node)
+        SELECT node, CAST(min(distance) AS INTEGER) AS distance FROM reach GROUP BY node""",
 )
 def transitive_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything downstream of the suppliers."""
     w = Workload(spark, sf_dir)
-    return G.reach(w.edges(1), _seeds(w)).select("node", "distance")
+    starts = w.elements(1).filter("id LIKE 'd:S%'").select("pair_id", F.col("id").alias("node"))
+    return G.reach(w.edges(1), starts).select("node", "distance")
 
 
 @query(
     "transitive_dependencies",
     with_views("v1_elements", "v1_inputs")
-    + """, up AS (SELECT id AS node, 0 AS distance FROM v1_elements WHERE id LIKE 'd:O%' AND CAST(substr(id, 4) AS BIGINT) % 997 = 0
+    + """, up AS (SELECT id AS node, 0 AS distance FROM v1_elements WHERE id LIKE 'd:O%'
         UNION SELECT i.input, u.distance + 1 FROM up u JOIN v1_inputs i ON i.id = u.node)
         SELECT node, CAST(min(distance) AS INTEGER) AS distance FROM up GROUP BY node""",
 )
 def transitive_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that the orders rest on."""
     w = Workload(spark, sf_dir)
-    chosen = w.elements(1).filter("id LIKE 'd:O%' AND CAST(substr(id, 4) AS BIGINT) % 997 = 0")
-    return G.reach(w.edges(1), chosen.select("pair_id", F.col("id").alias("node")), dependents=False).select("node", "distance")
+    starts = w.elements(1).filter("id LIKE 'd:O%'").select("pair_id", F.col("id").alias("node"))
+    return G.reach(w.edges(1), starts, dependents=False).select("node", "distance")
 
 
 _PATHS = """, starts AS (SELECT id AS node FROM v1_elements WHERE id LIKE 's:R%'),
@@ -377,21 +372,19 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates(named).select("element_id", "n")
 
 
-_CYCLES = """, arcs AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS src, 's' || CAST(s_suppkey * 3 % 50 AS VARCHAR) AS dst FROM supplier WHERE s_suppkey % 3 <> 1
-  UNION SELECT 's' || CAST(s_suppkey AS VARCHAR), 's' || CAST(s_suppkey + 1 AS VARCHAR) FROM supplier WHERE s_suppkey % 4 <> 0),
-  rec AS (SELECT src AS start, dst AS node FROM arcs UNION SELECT r.start, a.dst FROM rec r JOIN arcs a ON a.src = r.node)"""
-
-
-@query("cycle_nodes", "WITH RECURSIVE" + _CYCLES[1:] + " SELECT DISTINCT node FROM rec WHERE start = node")
+@query(
+    "cycle_nodes",
+    """WITH RECURSIVE arcs AS (SELECT s_suppkey AS src, (s_suppkey * s_suppkey + 1) % 97 AS dst FROM supplier),
+      rec AS (SELECT src AS start, dst AS node FROM arcs UNION SELECT r.start, a.dst FROM rec r JOIN arcs a ON a.src = r.node)
+      SELECT DISTINCT 's' || CAST(node AS VARCHAR) AS node FROM rec WHERE start = node""",
+)
 def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes on cycles of a small graph with back edges over the suppliers."""
+    """Nodes on cycles of a graph over all suppliers in which each points to its square plus one, modulo 97."""
+    key = F.col("s_suppkey")
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
     name = lambda c: F.concat(F.lit("s"), c.cast("string"))
-    key = F.col("s_suppkey")
-    arcs = s.filter(key % 3 != 1).select(name(key).alias("src"), name(key * 3 % 50).alias("dst")).union(
-        s.filter(key % 4 != 0).select(name(key), name(key + 1))
-    )
-    return G.cycle_nodes(arcs.withColumn("pair_id", F.lit("s"))).select("node").distinct()
+    arcs = s.select(F.lit("s").alias("pair_id"), name(key).alias("src"), name((key * key + 1) % 97).alias("dst"))
+    return G.cycle_nodes(arcs).select("node")
 
 
 # ---- lineage graphs ---------------------------------------------------------------

@@ -34,6 +34,8 @@ def test_alternative_paths(spark):
 def test_cycles(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e")]
     assert {r["node"] for r in G.cycle_nodes(frame(spark, edges)).collect()} == {"b", "c"}
+    knots = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e"), ("e", "f"), ("f", "g"), ("g", "e"), ("h", "h"), ("c", "x"), ("x", "e")]
+    assert {r["node"] for r in G.cycle_nodes(frame(spark, knots)).collect()} == set("abcdefgh")
     assert G.cycle_report(frame(spark, edges)).first()["cycle"] == ["b", "c", "b"]
     assert G.cycle_report(frame(spark, edges[:2])).isEmpty() and G.cycle_nodes(frame(spark, edges[:2])).isEmpty()
 
