@@ -143,6 +143,8 @@ def diff(
     for d in (d1, d2):
         for r in A.structure_issues(d, "spec").collect():
             raise ArtifactError(f"{r['code']}: {r['message']}")
+        for r in A.params_issues(d).collect():
+            raise ArtifactError(f"{r['code']}: {r['id']}: {r['message']}")
     v1, v2 = A.elements(d1), A.elements(d2)
     for v in (v1, v2):
         for r in graph_errors(v).collect():
@@ -260,6 +262,10 @@ def validate(spark: SparkSession, spec: Any, registry: Any = None, bindings: Any
     broken = A.structure_issues(docs, "spec").collect()
     if broken:
         return {"ok": False, "errors": [{"code": "INVALID_STRUCTURE", "message": r["message"]} for r in broken], "warnings": []}
+    unfit = A.params_issues(docs).orderBy("id").collect()
+    if unfit:
+        errors = [{"code": r["code"], "severity": "error", "message": r["message"], "element_id": r["id"]} for r in unfit]
+        return {"ok": False, "errors": errors, "warnings": []}
     t, b, r = _docs(spark, registry), _docs(spark, bindings), _docs(spark, raw_schema)
     found = V.issues(
         A.elements(docs),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippletrace.functions.ids import json_list
@@ -33,6 +33,19 @@ PRIORITY = {
 EVENT_TYPE = "struct<change_type:string,old_value:string,new_value:string,details:string>"
 
 
+def id_sets(elements: DataFrame) -> DataFrame:
+    """The ids of each kind: pair_id, kind, ids (sorted)."""
+    return elements.groupBy("pair_id", "kind").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def lookup(elements: DataFrame, keys: DataFrame, position: str | None = None) -> DataFrame:
+    """The elements that keys (pair_id, id) name; of repeated ids the first by position, else by name."""
+    order = [F.col(position)] if position else [F.col("kind"), F.col("name")]
+    first = Window.partitionBy("pair_id", "id").orderBy(*order)
+    found = elements.join(keys.select("pair_id", "id").distinct(), ["pair_id", "id"], "left_semi")
+    return found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+
+
 def event(
     condition: Column, change_type: Column | str, old: Column | None = None, new: Column | None = None, details: Column | None = None
 ) -> Column:

@@ -14,8 +14,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippletrace.runtime import stored
-
 PAIR = "tpch"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "documents")
 
@@ -240,6 +238,3 @@ class Workload:
 
     def graph_edges(self, side: int) -> DataFrame:
         return self.view(f"g{side}_edges").select(F.lit(PAIR).alias("pair_id"), "src", "dst", "kind")
-
-    def kept(self, df: DataFrame, name: str) -> DataFrame:
-        return stored(df, name)

@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
-
-
 SPEC_DDL = (
     "spec_version STRING, study_id STRING, source_table STRING, "
     "sources ARRAY<STRUCT<id: STRING, name: STRING, type: STRING>>, "

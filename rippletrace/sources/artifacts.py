@@ -14,8 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippletrace.functions.canon import plain, strict
-from rippletrace.functions.canon import params_hash_of
+from rippletrace.functions.canon import HASH_PREFIX, PARAMS_MOST, canonical_or_error, plain, strict
 from rippletrace.schemas import BINDINGS_DDL, GRAPH_DDL, RAW_SCHEMA_DDL, REGISTRY_DDL, SPEC_DDL
 
 # Top-level fields of each artifact, and the versions of versioned ones.
@@ -90,7 +89,10 @@ def versioned(docs: DataFrame, artifact: str, unknown_fields: str = "preserve")
 
 
 def elements(docs: DataFrame) -> DataFrame:
-    """The elements of specifications, inputs sorted: the table that the operators compare."""
+    """The elements of specifications, inputs sorted: the table that the operators compare.
+
+    Parameters without a canonical form get no hash; :func:`params_issues` lists them.
+    """
     spec = parsed(docs, SPEC_DDL)
     none = F.lit(None).cast("string")
     empty = F.array().cast("array<string>")
@@ -110,6 +112,7 @@ def elements(docs: DataFrame) -> DataFrame:
         )
 
     inputs = F.array_sort(F.coalesce("e.inputs", empty))
+    canonical = canonical_or_error(F.coalesce("e.params", F.lit("{}")))
     return (
         rows("sources", "source", type=F.col("e.type"))
         .unionByName(
@@ -118,7 +121,7 @@ def elements(docs: DataFrame) -> DataFrame:
                 "derived",
                 type=F.col("e.type"),
                 transform_ref=F.col("e.transform_ref"),
-                params_hash=params_hash_of(F.col("e.params")),
+                params_hash=F.when(~canonical.startswith("!"), F.concat(F.lit(HASH_PREFIX), F.sha2(canonical, 256))),
                 inputs=inputs,
             )
         )
@@ -126,6 +129,19 @@ def elements(docs: DataFrame) -> DataFrame:
     )
 
 
+def params_issues(docs: DataFrame) -> DataFrame:
+    """Parameters without a canonical form or beyond the size limit: pair_id, id, code, message."""
+    c = params(docs).withColumn("canonical", canonical_or_error("params"))
+    bad = F.col("canonical").startswith("!")
+    large = F.length("canonical") > PARAMS_MOST
+    return c.filter(bad | large).select(
+        "pair_id",
+        "id",
+        F.when(bad, "INVALID_STRUCTURE").otherwise("PARAMS_TOO_LARGE").alias("code"),
+        F.when(bad, F.expr("substr(canonical, 2)")).otherwise(F.format_string("parameters have %d characters", F.length("canonical"))).alias("message"),
+    )
+
+
 def params(docs: DataFrame) -> DataFrame:
     """pair_id, id and the parameters as JSON text, where a derived variable has any."""
     each = parsed(docs, SPEC_DDL).select("pair_id", F.explode("a.derived").alias("e"))
