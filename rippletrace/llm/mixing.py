@@ -21,6 +21,15 @@ from rippletrace.llm.common import session, stored
 RADIX_BITS, ROUNDS = 12, 4
 
 
+#: A pattern table of more rows is joined by shuffle instead of being broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table that the driver made, if it is small."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def word_count(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -129,7 +138,7 @@ def cutoffs(docs: DataFrame, needs: dict[int, int]) -> dict[int, int]:
             "pattern int, prefix long, before long, need long",
         )
         bins = (
-            docs.join(F.broadcast(known), "pattern")
+            docs.join(bounded(known, len(state)), "pattern")
             .filter(F.shiftright("rank", shift + RADIX_BITS) == F.col("prefix"))
             .groupBy("pattern", F.shiftright("rank", shift).alias("bin"))
             .agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("need").alias("need"))
@@ -190,9 +199,10 @@ class Mix:
         keys = spark.createDataFrame(
             [(r["sources"], p) for p, r in enumerate(found)], "pattern_sources array<string>, pattern int"
         )
-        ranked = self.sized.join(F.broadcast(keys), F.col("sources").eqNullSafe(F.col("pattern_sources")))
+        ranked = self.sized.join(bounded(keys, len(found)), F.col("sources").eqNullSafe(F.col("pattern_sources")))
         cuts = cutoffs(ranked.select("pattern", "rank", "size"), needs) if needs else {}
-        #: One row per pattern, whose number the driver already holds.
+        #: One row per pattern.
+        self.patterns = len(found)
         self.table = spark.createDataFrame(
             [
                 (r["sources"], whole[p], cuts.get(p, 0), totals[patterns[p][0][0]], targets[patterns[p][0][0]])
@@ -212,7 +222,7 @@ class Mix:
 
     def used(self, rows: DataFrame) -> DataFrame:
         """Rows with sources and rank, joined to their pattern; times: how often each is used."""
-        return rows.join(F.broadcast(self.table), F.col("sources").eqNullSafe(F.col("pattern_sources"))).withColumn(
+        return rows.join(bounded(self.table, self.patterns), F.col("sources").eqNullSafe(F.col("pattern_sources"))).withColumn(
             "times", F.col("uses") + (F.col("rank") < F.col("cut")).cast("int")
         )
 

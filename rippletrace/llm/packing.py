@@ -24,11 +24,14 @@ from rippletrace.llm.common import session, stored
 #: Mean number of pieces in a shard; islands per shard, epochs, population, crossovers an epoch.
 SHARD, ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 8192, 2, 2, 3, 4
 
+# Fixed value: how byte-level tokenizers of this family split a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def encoder(path: str, special: str = "<|endoftext|>") -> Callable[[str], np.ndarray]:
-    """Ids by the tokenizer file at ``path``, through the faster of two equal encoders.
+def encoder(path: str, pattern: str, special: str = "<|endoftext|>") -> Callable[[str], np.ndarray]:
+    """Ids by the byte-level tokenizer file at ``path``, through the faster of two equal encoders.
 
     The byte-pair ranks are read from the tokenizer's own vocabulary, and the file's
     tokenizer itself handles texts that hold one of its special tokens.
@@ -49,11 +52,7 @@ def encoder(path: str, special: str = "<|endoftext|>") -> Callable[[str], np.nda
     shown |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(shown[c] for c in token): i for token, i in model.items() if token not in specials}
     del file, model
-    import public_tokenizers
-
-    fast = tiktoken.Encoding(
-        "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-    )
+    fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
         if any(s in text for s in specials):
@@ -65,7 +64,9 @@ def encoder(path: str, special: str = "<|endoftext|>") -> Callable[[str], np.nda
     return encode
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, pattern: str = PATTERN
+) -> DataFrame:
     """Tokenize each text, append ``end_id`` and cut what exceeds ``capacity``.
 
     A longer document's first piece takes the remainder, all others are full. Null text
@@ -74,7 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, pattern)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
