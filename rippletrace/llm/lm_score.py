@@ -182,7 +182,7 @@ def train(tokens: DataFrame, rounds: int = ROUNDS, every: int = EVERY) -> np.nda
                 )
 
         replicas = tokens.select("doc_id", "ids").mapInArrow(replica, "n long, flat binary")
-        middle = max(1, int(tokens.rdd.getNumPartitions() ** 0.5))  # a tree: the driver gets the root of their number
+        middle = max(1, int(partitions(spark) ** 0.5))  # a tree: the driver gets few sums, whatever the number of tasks
         sums = replicas.repartition(middle).mapInArrow(add, "n long, flat binary").collect()
         if sums:
             total = sum(r["n"] for r in sums)
