@@ -19,7 +19,8 @@ from rippletrace.llm.common import session, stored
 
 #: Bits that one round of the cut-off search resolves, and rounds.
 RADIX_BITS, ROUNDS = 12, 4
-
+#: Fillings after the first cut, and the share of a need that may stay open without one.
+FILLS, ENOUGH = 4, 0.002
 
 #: A pattern table of more rows is joined by shuffle instead of being broadcast.
 BROADCAST_ROWS = 100_000
@@ -119,55 +120,72 @@ def route(patterns: list[tuple[tuple[int, ...], int]], targets: list[float], rep
     return [sum(net.room[e ^ 1] for e in arcs) for arcs in passes]
 
 
-def cutoffs(docs: DataFrame, needs: dict[int, int]) -> dict[int, int]:
-    """For each pattern the rank below which documents' sizes sum closest to the need.
+def cutoffs(docs: DataFrame, wanted: dict[int, tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
+    """For each pattern the rank up to which documents fit, and their tokens.
 
-    ``docs`` has pattern, rank (48 bits) and size. Each round sums sizes by the next
-    12 bits of the rank inside the bin that holds the crossing, so a round returns at
-    most one bin per pattern, whatever the size of the input.
+    ``docs`` has pattern, rank (48 bits) and size; ``wanted`` gives the need, the rank to
+    start from and the largest size to look at. Each round sums sizes by the next 12 bits
+    of the rank inside the bin that holds the crossing, so a round returns at most 4096
+    bins per pattern, whatever the size of the input. A cut at 2**48 means that all fit.
     """
     spark = docs.sparkSession
-    state = {p: (0, 0) for p in needs}  # the bin's first bits, tokens before it
-    done: dict[int, int] = {}
+    top = 1 << (RADIX_BITS * ROUNDS)
+    state = {p: (0, 0) for p in wanted}  # the bin's first bits, tokens before it
+    done: dict[int, tuple[int, int]] = {}
     for turn in range(ROUNDS):
         shift = RADIX_BITS * (ROUNDS - 1 - turn)
         if not state:
             break
         known = spark.createDataFrame(
-            [(p, prefix, before, needs[p]) for p, (prefix, before) in state.items()],
-            "pattern int, prefix long, before long, need long",
+            [(p, prefix, *wanted[p][1:]) for p, (prefix, _) in state.items()],
+            "pattern int, prefix long, low long, cap long",
         )
         bins = (
             docs.join(bounded(known, len(state)), "pattern")
             .filter(F.shiftright("rank", shift + RADIX_BITS) == F.col("prefix"))
+            .filter("rank >= low AND size <= cap AND size > 0")
             .groupBy("pattern", F.shiftright("rank", shift).alias("bin"))
-            .agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("need").alias("need"))
-        )
-        listed = bins.groupBy("pattern", "before", "need").agg(
-            F.array_sort(F.collect_list(F.struct("bin", "size"))).alias("bins")  # 4096 at most
+            .agg(F.sum("size").alias("size"))
         )
+        listed = bins.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("bin", "size"))).alias("bins"))
+        found = {row["pattern"]: row["bins"] for row in listed.toLocalIterator()}
         after: dict[int, tuple[int, int]] = {}
-        for row in listed.toLocalIterator():
-            total, p = row["before"], row["pattern"]
-            cut = None
-            for b, size in row["bins"]:
-                if total + size > row["need"]:
-                    cut = (b, total, size)
+        for p, (_, total) in state.items():
+            for b, size in found.get(p, ()):
+                if total + size > wanted[p][0]:
+                    if shift:
+                        after[p] = (b, total)
+                    else:
+                        done[p] = (b, total)
                     break
                 total += size
-            if cut is None:
-                done[p] = 1 << (RADIX_BITS * ROUNDS)
-            elif shift == 0:
-                nearer = row["need"] - cut[1] > cut[1] + cut[2] - row["need"]
-                done[p] = cut[0] + 1 if nearer else cut[0]
             else:
-                after[p] = (cut[0], cut[1])
-        for p in state.keys() - after.keys() - done.keys():
-            done[p] = 1 << (RADIX_BITS * ROUNDS)
+                done[p] = (top, total)
         state = after
     return done
 
 
+def choices(docs: DataFrame, needs: dict[int, int]) -> dict[int, list[tuple[int, int, int]]]:
+    """Intervals (low, cut, cap): documents of low <= rank < cut and size <= cap together come close to the need.
+
+    Where the next document would exceed the need, later ones that still fit fill the rest.
+    """
+    chosen: dict[int, list[tuple[int, int, int]]] = {p: [] for p in needs}
+    wanted = {p: (need, 0, need) for p, need in needs.items()}
+    for _ in range(1 + FILLS):
+        after = {}
+        for p, (cut, total) in cutoffs(docs, wanted).items():
+            need, low, cap = wanted[p]
+            chosen[p].append((low, cut, cap))
+            rest = need - total
+            if cut < 1 << (RADIX_BITS * ROUNDS) and rest > ENOUGH * needs[p]:
+                after[p] = (rest, cut + 1, rest)
+        wanted = after
+        if not wanted:
+            break
+    return chosen
+
+
 class Mix:
     """A decided mix: how often documents of each membership pattern are used."""
 
@@ -200,15 +218,15 @@ class Mix:
             [(r["sources"], p) for p, r in enumerate(found)], "pattern_sources array<string>, pattern int"
         )
         ranked = self.sized.join(bounded(keys, len(found)), F.col("sources").eqNullSafe(F.col("pattern_sources")))
-        cuts = cutoffs(ranked.select("pattern", "rank", "size"), needs) if needs else {}
+        cuts = choices(ranked.select("pattern", "rank", "size"), needs) if needs else {}
         #: One row per pattern.
         self.patterns = len(found)
         self.table = spark.createDataFrame(
             [
-                (r["sources"], whole[p], cuts.get(p, 0), totals[patterns[p][0][0]], targets[patterns[p][0][0]])
+                (r["sources"], whole[p], cuts.get(p, []), totals[patterns[p][0][0]], targets[patterns[p][0][0]])
                 for p, r in enumerate(found)
             ],
-            "pattern_sources array<string>, uses int, cut long, source_size long, target double",
+            "pattern_sources array<string>, uses int, more array<struct<low:long,cut:long,cap:long>>, source_size long, target double",
         )
 
     def members(self) -> Column:
@@ -221,9 +239,12 @@ class Mix:
         return F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), F.col("doc_id")), 16).alias("rank")
 
     def used(self, rows: DataFrame) -> DataFrame:
-        """Rows with sources and rank, joined to their pattern; times: how often each is used."""
+        """Rows with sources, rank and size, joined to their pattern; times: how often each is used."""
+        inside = F.exists(
+            "more", lambda i: (F.col("rank") >= i["low"]) & (F.col("rank") < i["cut"]) & (F.col("size") <= i["cap"])
+        )
         return rows.join(bounded(self.table, self.patterns), F.col("sources").eqNullSafe(F.col("pattern_sources"))).withColumn(
-            "times", F.col("uses") + (F.col("rank") < F.col("cut")).cast("int")
+            "times", F.col("uses") + inside.cast("int")
         )
 
 
@@ -268,5 +289,5 @@ def mixed_rows(
 ) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as :func:`mix` uses it. Moves no texts."""
     decided = Mix(docs, sources, weights, budget, most, seed)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), decided.members(), decided.rank())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), decided.members(), decided.rank(), word_count(F.col("text")).alias("size"))
     return decided.used(rows).filter("times > 0").select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")
