@@ -68,18 +68,21 @@ def components(edges: DataFrame, rounds: int = 50, contract: bool = True) -> Dat
     mark = None
     for _ in range(rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # aggregates are written first: then both sides of a join are plain exchanges, which Spark splits where skewed
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        large = stored(large, "large")
         # now a < b: b hangs on a; link b's other, larger supports to its least one
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = stored(large.groupBy("b").agg(F.min("a").alias("m")), "least")
+        hung = F.array(
+            F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b"))
+        )
         small = (
-            large.join(least, "b")
-            .select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
-            .filter("a <> b")
-            .distinct()
+            large.join(least, "b").select(F.explode(hung).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         )
         after = stored(small, "edges")
+        for old in (low, large, least):
+            discard(old)
         sign = after.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         discard(now)
         now = after

@@ -303,6 +303,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         "doc_id", "n_shingles", F.coalesce("component", "digest").alias("class")
     )
     least = named.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    least = stored(least, "least")  # so that the join below has two plain exchanges and a hot class can be split
     return named.join(least, "class", "left").select(
         "doc_id",
         "n_shingles",
