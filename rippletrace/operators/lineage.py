@@ -149,12 +149,12 @@ def edge_changes(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def event_log(a: DataFrame, b: DataFrame) -> DataFrame:
+def event_log(a: DataFrame, b: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Events: steps added and removed unless their class is paired, changed payloads, replaced classes, rewired steps.
 
     pair_id, type, transform_class_id, op, step_id, detail; ordered by all of them when written.
     """
-    pairs = class_pairs(a, b)
+    pairs = stored(class_pairs(a, b), "pairs") if pairs is None else pairs
     covered = pairs.select("pair_id", "transform_class_id", "op")
 
     def alone(x: DataFrame, y: DataFrame, kind: str) -> DataFrame:
@@ -182,19 +182,20 @@ def event_log(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def counts(a: DataFrame, b: DataFrame, edges_a: DataFrame, edges_b: DataFrame) -> DataFrame:
     """Counters of raw differences and of events: pair_id, counter, n."""
+    pairs = stored(class_pairs(a, b), "pairs")
     nodes = node_changes(a, b, "step").unionByName(node_changes(tables_of(edges_a), tables_of(edges_b), "table"))
     raw = nodes.select("pair_id", F.concat_ws("_", F.lit("raw"), "kind", "change").alias("counter"))
     raw = raw.union(changed_steps(a, b).select("pair_id", F.lit("raw_step_changed")))
     raw = raw.union(rewired_steps(a, b).select("pair_id", F.lit("raw_step_rewired")))
-    raw = raw.union(class_pairs(a, b).select("pair_id", F.concat(F.lit("raw_class_"), "classification")))
+    raw = raw.union(pairs.select("pair_id", F.concat(F.lit("raw_class_"), "classification")))
     raw = raw.union(edge_changes(edges_a, edges_b).select("pair_id", F.concat(F.lit("raw_edge_"), "change")))
-    raw = raw.union(event_log(a, b).select("pair_id", F.concat(F.lit("event_"), "type")))
+    raw = raw.union(event_log(a, b, pairs).select("pair_id", F.concat(F.lit("event_"), "type")))
     return raw.groupBy("pair_id", "counter").agg(F.count("*").alias("n"))
 
 
 def seeds(a: DataFrame, b: DataFrame) -> DataFrame:
     """Steps of graph B from which changes spread: pair_id, id, reasons (in a fixed order)."""
-    pairs = class_pairs(a, b)
+    pairs = stored(class_pairs(a, b), "pairs")
     changed = changed_steps(a, b).select("pair_id", "id", F.struct(F.lit(1).alias("r"), F.lit("payload_changed").alias("reason")).alias("why"))
     replaced = pairs.select("pair_id", F.explode("to_steps").alias("id"), F.struct(F.lit(2).alias("r"), F.lit("replaced_same_class").alias("reason")).alias("why"))
     added = (

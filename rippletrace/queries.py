@@ -475,7 +475,7 @@ def lineage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _down(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     w = Workload(spark, sf_dir)
-    start = stored(L.seeds(w.steps(1), w.steps(2)), "seeds")
+    start = stored(L.seeds(stored(w.steps(1), "steps"), stored(w.steps(2), "steps")), "seeds")
     edges = stored(w.graph_edges(2), "arcs")
     return edges, L.downstream(edges, start)
 

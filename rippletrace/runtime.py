@@ -47,6 +47,8 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column | str], name:
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # range partitioning reads its input twice, once for a sample: let it read a table
+    df = df if hasattr(df, "_stored_path") else stored(df, "unnumbered")
     keys = [*(F.col(g) for g in groups), *(F.col(o) if isinstance(o, str) else o for o in order)]
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     placed = stored(
