@@ -4,6 +4,10 @@ Vectors are projected to a few dimensions, shifted and put in the order of a Hil
 curve; several projections and shifts give several orders, each range-partitioned by
 Spark. A query's candidates are the rows within a window of ranks around it in each
 order; the windows' nearest rows merge and are ranked by the exact distance.
+
+Equal vectors are one class with one place on each curve. As ties go to the smaller
+vec_id, a class needs only its k + 1 least ids as neighbours, and one search serves all
+queries of a class.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rippletrace.llm import hashing
 from rippletrace.llm.common import partitions, session, stored
 from rippletrace.llm.vectors import matrix, valid
 
@@ -81,6 +86,16 @@ def nearest(
     ).first()
     reach = max(LEAST_WINDOW, int((total or 0) * window)) // 2
     block = max(64, min(2048, reach // 2))
+    least = k + 1
+    parted = usable.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("salt")).agg(
+        F.slice(F.sort_array(F.collect_set("vec_id")), 1, least).alias("ids"), F.bool_or(queries).alias("asks")
+    )  # a class of any size is dealt over all partitions first
+    classes = stored(
+        parted.groupBy("v")
+        .agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, least).alias("ids"), F.bool_or("asks").alias("asks"))
+        .select(F.monotonically_increasing_id().alias("class"), "ids", "asks", "v"),
+        "classes",
+    )
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
@@ -89,8 +104,8 @@ def nearest(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column(1), d)
-            at = pa.array(np.arange(len(x)))
+            x = matrix(batch.column(3), d)
+            own = np.asarray(batch.column(0)).astype(np.uint64) * np.uint64(curves)
             for c in range(curves):
                 cell = np.clip((x @ planes[c] + shifts[c] + 4) * ((1 << BITS) / 12), 0, (1 << BITS) - 1)
                 key = hilbert_keys(cell.astype(np.int64), BITS)
@@ -98,14 +113,15 @@ def nearest(
                     [
                         pa.array(np.full(len(x), c, dtype=np.int32)),
                         pa.array(key.astype(np.int64)),
-                        batch.column(0).take(at),
-                        batch.column(1).take(at),
+                        pa.array(hashing.mixed(own + np.uint64(c)).view(np.int64)),  # another order of equal keys on each curve
+                        *batch.columns,
                     ],
-                    names=["curve", "key", "vec_id", "v"],
+                    names=["curve", "key", "tie", "class", "ids", "asks", "v"],
                 )
 
-    keyed = usable.mapInArrow(order, "curve int, key long, vec_id long, v array<double>")
-    ranged = keyed.repartitionByRange(parts, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
+    kind = "class long, ids array<long>, asks boolean, v array<double>"
+    keyed = classes.mapInArrow(order, f"curve int, key long, tie long, {kind}")
+    ranged = keyed.repartitionByRange(parts, "curve", "key", "tie").sortWithinPartitions("curve", "key", "tie")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Count the rows of each curve in this partition as they pass."""
@@ -118,13 +134,13 @@ def nearest(
                 at[mine] = seen.get(c, 0) + np.arange(len(mine))
                 seen[c] = seen.get(c, 0) + len(mine)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(at)],
-                names=["curve", "vec_id", "v", "part", "at"],
+                [batch.column(0), *batch.columns[3:], pa.array(at)],
+                names=["curve", "class", "ids", "asks", "v", "part", "at"],
             )
 
     placed = stored(
         ranged.withColumn("part", F.spark_partition_id()).mapInArrow(
-            number, "curve int, vec_id long, v array<double>, part int, at long"
+            number, f"curve int, {kind}, part int, at long"
         ),
         "curves",
     )
@@ -135,44 +151,69 @@ def nearest(
         before[r["curve"]] = before.get(r["curve"], 0) + r["count"]
     base = spark.createDataFrame(bases, "curve int, part int, base long")
     ranked = placed.join(F.broadcast(base), ["curve", "part"]).select(
-        "curve", "vec_id", "v", (F.col("base") + F.col("at")).alias("r")
+        "curve", "class", "ids", "asks", "v", (F.col("base") + F.col("at")).alias("r")
     )
-    members = ranked.withColumn("block", F.floor(F.col("r") / block))
-    asking = ranked.filter(queries).select(
+    members = ranked.select("curve", "ids", "v", "r").withColumn("block", F.floor(F.col("r") / block))
+    asking = ranked.filter("asks").select(
         F.col("curve").alias("on"),
         F.explode(
             F.sequence(F.floor(F.greatest(F.col("r") - reach, F.lit(0)) / block), F.floor((F.col("r") + reach) / block))
         ).alias("in"),
-        F.col("vec_id").alias("query_id"),
+        "class",
         F.col("v").alias("query"),
         F.col("r").alias("query_r"),
     )
-    result = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    result = pa.schema([("class", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(near: pa.Table, ask: pa.Table) -> pa.Table:
         if not near.num_rows or not ask.num_rows:
             return result.empty_table()
-        x, r, ids = matrix(near.column("v"), d), np.asarray(near.column("r")), np.asarray(near.column("vec_id"))
-        y, at, names = matrix(ask.column("query"), d), np.asarray(ask.column("query_r")), np.asarray(ask.column("query_id"))
+        x, r = matrix(near.column("v"), d), np.asarray(near.column("r"))
+        ids = near.column("ids").to_pylist()
+        y, at, names = matrix(ask.column("query"), d), np.asarray(ask.column("query_r")), np.asarray(ask.column("class"))
         out: list[list[np.ndarray]] = [[], [], []]
         for i in range(len(y)):
-            mine = np.flatnonzero((np.abs(r - at[i]) <= reach) & (ids != names[i]))
+            mine = np.flatnonzero(np.abs(r - at[i]) <= reach)
             gap = np.sqrt(((x[mine] - y[i]) ** 2).sum(axis=1))
-            if len(gap) > k:
-                close = np.flatnonzero(gap <= np.partition(gap, k - 1)[k - 1])
-                mine, gap = mine[close], gap[close]
-            first = np.lexsort((ids[mine], gap))[:k]
-            out[0].append(np.full(len(first), names[i]))
-            out[1].append(ids[mine][first])
-            out[2].append(gap[first])
+            found, n = {}, least
+            while len(found) < least:
+                close = np.flatnonzero(gap <= np.partition(gap, n - 1)[n - 1]) if len(gap) > n else np.arange(len(gap))
+                pairs = sorted((g, v) for g, j in zip(gap[close].tolist(), mine[close].tolist(), strict=True) for v in ids[j])
+                found = {}
+                for g, v in pairs:
+                    found.setdefault(v, g)
+                if len(gap) <= n:
+                    break
+                n *= 2  # one id may stand in several classes
+            out[0].append(np.full(min(least, len(found)), names[i]))
+            out[1].append(np.fromiter(found, np.int64)[:least])
+            out[2].append(np.fromiter(found.values(), np.float64)[:least])
         return pa.table([pa.array(np.concatenate(o)) for o in out], schema=result)
 
     found = (
         members.groupBy("curve", "block")
         .cogroup(asking.groupBy("on", "in"))
-        .applyInArrow(search, "query_id long, vec_id long, score double")
+        .applyInArrow(search, "class long, vec_id long, score double")
+    )
+    best = Window.partitionBy("class").orderBy("score", "vec_id")
+    near = stored(
+        found.groupBy("class", "vec_id")
+        .agg(F.min("score").alias("score"))
+        .withColumn("rank", F.row_number().over(best))
+        .filter(F.col("rank") <= least)
+        .groupBy("class")
+        .agg(F.collect_list(F.struct("vec_id", "score")).alias("near")),
+        "near",
+    )
+    of_class = classes.filter("asks").select("class", "v").join(near, "class").select("v", "near")
+    each = (
+        usable.filter(queries)
+        .select(F.col("vec_id").alias("query_id"), "v")
+        .join(of_class, "v")
+        .select("query_id", F.inline("near"))
+        .filter("vec_id <> query_id")
     )
-    merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    merged = each.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     first = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
         merged.withColumn("rank", F.row_number().over(first))

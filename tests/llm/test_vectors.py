@@ -71,6 +71,30 @@ def test_nearest(spark, vectors):
     assert hit >= 0.9 * total and {r["query_id"] for r in got} == {i for i in ids if i % 100 == 0}
 
 
+def test_nearest_in_a_large_group_of_copies(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((900, 8)).astype(np.float32)
+    n = rng.permutation(900)
+    x[:300] = x[0]
+    rows = [*zip(n.tolist(), x, strict=True)]
+    rows += [(int(n[0]), x[0]), (int(n[1]), x[500])]  # a repeated row, and an id with two vectors
+    ids, v = [i for i, _ in rows], np.array([u for _, u in rows], dtype=np.float64)
+    got = nearest.nearest(table(spark, ids, v), F.col("vec_id") % 10 == 0, k=10).collect()
+    for q in n[2:300].tolist():
+        if q % 10 == 0:
+            mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+            copies = sorted({i for i in n[:300].tolist() if i != q})[:10]
+            assert mine == [(j + 1, i, 0.0) for j, i in enumerate(copies)]
+    hit = total = 0
+    for q in n[300:].tolist():
+        if q % 10 == 0:
+            gap = np.sqrt(((v - v[ids.index(q)]) ** 2).sum(1))
+            true = [ids[i] for i in np.lexsort((ids, gap)) if ids[i] != q][:10]
+            hit += len(set(true) & {r["vec_id"] for r in got if r["query_id"] == q})
+            total += 10
+    assert hit >= 0.9 * total
+
+
 def test_few_and_no_vectors(spark):
     few = table(spark, [0, 1, 2, 100], [[1, 0], [1, 0.1], [0, 1], [1, 0]])
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in nearest.nearest(few, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
