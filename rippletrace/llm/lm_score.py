@@ -1,10 +1,11 @@
 """Masked pseudo-likelihood scores of documents by a bidirectional window network.
 
-Words are counted over the whole corpus; the most frequent ones are tokens of their own,
-all others share hashed classes. A small network, trained in numpy on a share of every
-document's positions, predicts each token from the words on both sides of it. Tasks train
-replicas on their own examples and Spark averages them. A document's score is the sum of
-its tokens' conditional log-probabilities.
+Every word of the corpus is counted and has a probability of its own, factored by classes:
+the most frequent words are classes of one word, all others share hashed classes. A small
+network, trained in numpy on every position, predicts each class from the words on both
+sides of it; within its class a word has its share of the class's occurrences in the whole
+corpus. Tasks train replicas on their own examples and Spark averages them. A document's
+score is the sum of its words' conditional log-probabilities.
 """
 
 from __future__ import annotations
@@ -13,57 +14,120 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.llm import hashing
 from rippletrace.llm.common import chunked, partitions, session, stored, typed
 
-#: Tokens of their own, hashed classes, words on each side, hidden units.
+#: Classes of one word, hashed classes, words on each side, hidden units.
 WORDS, CLASSES, SIDE, HIDDEN = 192, 64, 2, 16
-#: One in so many positions is an example in a round; rounds; examples in a step; step size.
-EVERY, ROUNDS, STEP, RATE = 24, 2, 128, 0.1
+#: One in so many positions is an example in a round, another one in each; rounds; examples in a step; step size.
+EVERY, ROUNDS, STEP, RATE = 2, 2, 128, 0.1
 CHUNK = 2 << 20
 SIZE = WORDS + CLASSES
 EDGE = SIZE  # beside the first and last word
 
 
-def word_counts(docs: DataFrame, parts: int) -> DataFrame:
-    """hash and n of every word of the corpus; equal words of a chunk are counted before the shuffle."""
+def coded(docs: DataFrame, parts: int) -> DataFrame:
+    """Texts by chunks: a row of each text (doc_id, its words as places among the chunk's words) and
+    rows of the chunk's words by buckets (bucket, hash, n), which follow one another in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunked(batches, "text", CHUNK):
-            data, offsets = hashing.buffer(batch.column(0))
-            starts, ends, _ = hashing.words(data, offsets)
-            key, n = np.unique(hashing.word_hashes(data, starts, ends), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["hash", "n"])
-
-    return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-
-
-def token_table(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id and ids (one byte a word) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(frequent)
-        keys = frequent[order]
+        chunk = TaskContext.get().partitionId() << 32
         for batch in chunked(batches, "text", CHUNK):
             data, offsets = hashing.buffer(batch.column(1))
             starts, ends, first = hashing.words(data, offsets)
-            key = hashing.word_hashes(data, starts, ends)
-            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            own = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
-            rest = WORDS + (key >> np.uint64(40)) % np.uint64(CLASSES)
-            ids = np.where(own, order[at] if len(keys) else 0, rest).astype(np.uint8)
+            key, place, n = np.unique(hashing.word_hashes(data, starts, ends), return_inverse=True, return_counts=True)
+            bucket = (key % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            back = np.empty(len(order), dtype=np.int32)
+            back[order] = np.arange(len(order), dtype=np.int32)
+            place = back[place]
+            key, n, bucket = key[order], n[order], bucket[order]
+            own, cut, many = np.unique(bucket, return_index=True, return_counts=True)
+            cuts = [*zip(cut, cut + many, strict=True)]
+            rows, words = batch.num_rows, len(own)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()),
+                    pa.array(np.full(rows + words, chunk)),
+                    pa.concat_arrays([batch.column(0), pa.nulls(words, pa.int64())]),
+                    pa.array([place[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)] + [None] * words, pa.binary()),
+                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(own, pa.int64())]),
+                    pa.array([None] * rows + [key[a:b].tobytes() for a, b in cuts], pa.binary()),
+                    pa.array([None] * rows + [n[a:b].tobytes() for a, b in cuts], pa.binary()),
                 ],
-                names=["doc_id", "ids"],
+                names=["chunk", "doc_id", "places", "bucket", "hash", "n"],
             )
-
-    return docs.mapInArrow(run, "doc_id long, ids binary")
+            chunk += 1
+
+    return docs.mapInArrow(run, "chunk long, doc_id long, places binary, bucket long, hash binary, n binary")
+
+
+def word_totals(parts: DataFrame) -> DataFrame:
+    """Counts over the whole corpus, by buckets: each chunk's words with their totals; the bucket's most
+    frequent words (top, n); the occurrences of each hashed class (class, n)."""
+    kind = pa.schema(
+        [("chunk", pa.int64()), ("bucket", pa.int64()), ("hash", pa.binary()), ("total", pa.binary()), ("top", pa.int64()), ("class", pa.int64()), ("n", pa.int64())]
+    )
+
+    def count(group: pa.Table) -> pa.Table:
+        blobs = group.column("hash").to_pylist()
+        key, place = np.unique(np.frombuffer(b"".join(blobs), "<u8"), return_inverse=True)
+        total = np.zeros(len(key), dtype=np.int64)
+        np.add.at(total, place, np.frombuffer(b"".join(group.column("n").to_pylist()), "<i8"))
+        top = np.lexsort((key.view(np.int64), -total))[:WORDS]
+        classes = np.zeros(CLASSES, dtype=np.int64)
+        np.add.at(classes, hashed_class(key) - WORDS, total)
+        first = np.concatenate([[0], np.cumsum([len(b) // 8 for b in blobs])])
+        found = total[place]
+        m = len(blobs)
+        return pa.table(
+            [
+                pa.concat_arrays([group.column("chunk").combine_chunks(), pa.nulls(len(top) + CLASSES, pa.int64())]),
+                pa.concat_arrays([group.column("bucket").combine_chunks(), pa.nulls(len(top) + CLASSES, pa.int64())]),
+                pa.array(blobs + [None] * (len(top) + CLASSES), pa.binary()),
+                pa.array([found[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)] + [None] * (len(top) + CLASSES), pa.binary()),
+                pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(key[top].view(np.int64)), pa.nulls(CLASSES, pa.int64())]),
+                pa.concat_arrays([pa.nulls(m + len(top), pa.int64()), pa.array(np.arange(CLASSES))]),
+                pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(total[top]), pa.array(classes)]),
+            ],
+            schema=kind,
+        )
+
+    return parts.groupBy("bucket").applyInArrow(
+        count, "chunk long, bucket long, hash binary, total binary, top long, class long, n long"
+    )
+
+
+def hashed_class(key: np.ndarray) -> np.ndarray:
+    return (WORDS + (key >> np.uint64(40)) % np.uint64(CLASSES)).astype(np.int64)
+
+
+def token_table(texts: DataFrame, totals: DataFrame, frequent: np.ndarray, sizes: np.ndarray) -> DataFrame:
+    """doc_id, ids (the class of each word, one byte) and within (summed log-shares of the words in their classes)."""
+    order = np.argsort(frequent)
+    keys = frequent[order]
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        if words.num_rows:
+            words = words.sort_by("bucket")
+        key = np.frombuffer(b"".join(words.column("hash").to_pylist()), "<u8")
+        total = np.frombuffer(b"".join(words.column("total").to_pylist()), "<i8")
+        at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+        own = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
+        rest = hashed_class(key)
+        token = np.where(own, order[at] if len(keys) else 0, rest).astype(np.uint8)
+        share = np.where(own, 0.0, np.log(total / np.maximum(sizes[rest - WORDS], 1)))
+        ids, within = [], []
+        for blob in texts.column("places").to_pylist():
+            place = np.frombuffer(blob, "<i4")
+            ids.append(token[place].tobytes())
+            within.append(float(share[place].sum()))
+        return pa.table({"doc_id": texts.column("doc_id"), "ids": pa.array(ids, pa.binary()), "within": pa.array(within, pa.float64())})
+
+    return texts.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(run, "doc_id long, ids binary, within double")
 
 
 class Network:
@@ -118,8 +182,10 @@ class Network:
         for name, like in (("tables", self.tables), ("bias", self.bias), ("out", self.out), ("prior", self.prior)):
             setattr(g, name, step[at : at + like.size].reshape(like.shape))
             at += like.size
-        for o in range(2 * SIDE):
-            np.add.at(g.tables[o], context[o], below)
+        spot = (context + np.arange(2 * SIDE)[:, None] * (SIZE + 1))[:, :, None] * HIDDEN + np.arange(HIDDEN)
+        g.tables += np.bincount(
+            spot.ravel(), np.broadcast_to(below, spot.shape).ravel(), self.tables.size
+        ).reshape(self.tables.shape)
         g.bias += below.sum(axis=0)
         g.out += h.T @ logit
         g.prior += logit.sum(axis=0)
@@ -143,8 +209,16 @@ def joined_ids(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(blobs), np.uint8).astype(np.int64), first
 
 
+def examples(docs: np.ndarray, first: np.ndarray, turn: int, every: int) -> np.ndarray:
+    """Positions that train in a round; the rounds of ``every`` successive turns take each position once."""
+    n = np.diff(first)
+    places = (np.arange(first[-1]) - np.repeat(first[:-1], n)).astype(np.uint64)
+    pick = hashing.mixed(np.repeat(docs, n).view(np.uint64) * np.uint64(hashing.BASE) + places) % np.uint64(every)
+    return np.flatnonzero(pick == turn % every)
+
+
 def train(tokens: DataFrame, rounds: int = ROUNDS, every: int = EVERY) -> np.ndarray:
-    """Weights averaged over the replicas that tasks train on one in ``every`` positions of all documents."""
+    """Weights averaged over the replicas that tasks train on one in ``every`` positions of all documents a round."""
     spark = tokens.sparkSession
     flat = Network().flat
     for turn in range(rounds):
@@ -155,18 +229,15 @@ def train(tokens: DataFrame, rounds: int = ROUNDS, every: int = EVERY) -> np.nda
         ) -> Iterator[pa.RecordBatch]:
             net, squares, seen = Network(sent.value), np.zeros_like(sent.value), 0
             for batch in batches:
-                ids, first = joined_ids(batch.column(1).to_pylist())
-                docs = np.repeat(np.asarray(batch.column(0).fill_null(0)), np.diff(first))
-                pick = hashing.mixed(
-                    docs.view(np.uint64) * np.uint64(hashing.BASE)
-                    + (np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
-                ) % np.uint64(every)
-                at = np.flatnonzero(pick == turn % every)
-                at = np.random.default_rng(turn).permutation(at)
-                context, token = neighbours(ids, first, at), ids[at]
-                for a in range(0, len(at), STEP):
-                    net.learn(context[:, a : a + STEP], token[a : a + STEP], squares)
-                seen += len(at)
+                docs, blobs = np.asarray(batch.column(0).fill_null(0)), batch.column(1).to_pylist()
+                for start in range(0, len(blobs), 256):
+                    ids, first = joined_ids(blobs[start : start + 256])
+                    at = examples(docs[start : start + 256], first, turn, every)
+                    at = np.random.default_rng(turn).permutation(at)
+                    context, token = neighbours(ids, first, at), ids[at]
+                    for a in range(0, len(at), STEP):
+                        net.learn(context[:, a : a + STEP], token[a : a + STEP], squares)
+                    seen += len(at)
             if seen:
                 yield pa.RecordBatch.from_pydict({"n": pa.array([seen]), "flat": pa.array([net.flat.tobytes()])})
 
@@ -201,16 +272,29 @@ def scored(docs: DataFrame) -> DataFrame:
     """
     spark = session(docs.sparkSession)
     slim = docs.select(typed(docs, "doc_id", "bigint"), typed(docs, "text", "string"))
-    counts = word_counts(slim, partitions(spark))
-    top = counts.orderBy(F.desc("n"), "hash").limit(WORDS).collect()
-    frequent = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)
-    tokens = stored(token_table(slim, frequent), "tokens")
+    code = stored(coded(slim, partitions(spark)), "coded")
+    totals = stored(word_totals(code.filter("bucket IS NOT NULL").select("chunk", "bucket", "hash", "n")), "totals")
+    top = totals.filter("top IS NOT NULL").orderBy(F.desc("n"), "top").limit(WORDS).collect()
+    frequent = np.array([r["top"] for r in top], dtype=np.int64).view(np.uint64)
+    sizes = np.zeros(CLASSES, dtype=np.int64)
+    for r in totals.filter("class IS NOT NULL").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        sizes[r["class"]] = r["n"]
+    np.subtract.at(sizes, hashed_class(frequent) - WORDS, np.array([r["n"] for r in top], dtype=np.int64))
+    tokens = stored(
+        token_table(
+            code.filter("places IS NOT NULL").select("chunk", "doc_id", "places"),
+            totals.filter("chunk IS NOT NULL").select("chunk", "bucket", "hash", "total"),
+            frequent,
+            sizes,
+        ),
+        "tokens",
+    )
     sent = spark.sparkContext.broadcast(train(tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(sent.value)
         for batch in batches:
-            total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
+            total, count = np.asarray(batch.column(2)).copy(), np.zeros(batch.num_rows, dtype=np.int64)
             blobs = batch.column(1).to_pylist()
             for a in range(0, len(blobs), 64):
                 ids, first = joined_ids(blobs[a : a + 64])
@@ -218,7 +302,7 @@ def scored(docs: DataFrame) -> DataFrame:
                 count[a : a + 64] = n
                 log = net.log_probability(neighbours(ids, first, np.arange(len(ids))), ids)
                 sums = np.concatenate([[0.0], np.cumsum(log)])
-                total[a : a + 64] = sums[first[1:]] - sums[first[:-1]]
+                total[a : a + 64] += sums[first[1:]] - sums[first[:-1]]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

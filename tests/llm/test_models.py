@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from rippletrace.llm import html_text, language_id, lm_score
+from rippletrace.llm import hashing, html_text, language_id, lm_score
 
 from .conftest import frame, prose
 
@@ -74,6 +74,34 @@ def test_pseudo_likelihood(spark):
     assert lm_score.scored(frame(spark, [])).collect() == []
 
 
+def test_every_word_has_its_own_probability(spark):
+    import pyarrow as pa
+
+    common = [f"c{i}" for i in range(lm_score.WORDS)]
+    rare = [f"r{i}" for i in range(300)]
+    n = {w: 2 + i % 5 for i, w in enumerate(rare)}
+    rows = [(1, " ".join(common * 9))] + [(2, " ".join(w for w in rare for _ in range(n[w] - 1)))]
+    rows += [(1000 + i, w) for i, w in enumerate(rare)]
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm_score.scored(frame(spark, rows)).collect()}
+    key = hashing.word_hashes(*(lambda d, o: (d, *hashing.words(d, o)[:2]))(*hashing.buffer(pa.array(rare))))
+    same = {}
+    for i, c in enumerate(lm_score.hashed_class(key).tolist()):
+        same.setdefault(c, []).append(i)
+    for members in same.values():
+        for i in members:  # alone in a row, words of one class differ by their counts only
+            want = np.log(n[rare[i]] / n[rare[members[0]]])
+            assert abs(got[1000 + i] - got[1000 + members[0]] - want) < 1e-6
+    total = sum(np.exp(got[1000 + i]) for i in range(300))
+    assert 0 < total < 1
+    assert [r["n_tokens"] for r in lm_score.scored(frame(spark, [(1, None), (2, " ")])).collect()] == [0, 0]
+
+
+def test_rounds_train_on_every_position():
+    first = np.array([0, 7, 7, 5000])
+    seen = [lm_score.examples(np.array([3, 4, -5]), first, turn, lm_score.EVERY) for turn in range(lm_score.ROUNDS)]
+    assert sorted(np.concatenate(seen).tolist()) == list(range(5000))
+
+
 def test_network_gradient_and_probabilities():
     net = lm_score.Network()
     rng = np.random.default_rng(1)
