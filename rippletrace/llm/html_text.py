@@ -5,6 +5,10 @@ length and commas and passes them to its ancestors, halved at each level; a cont
 points are discounted by its link density and by what its tag and names say. The best
 container and those of its siblings that score alike are kept, and inside them the
 blocks that are navigation, notices, adverts, forms, comments or mostly links go.
+
+A name or a form alone does not condemn what holds the page's text: such an element is
+pardoned if it has most of the page's points and the main heading, or if little is left
+without it.
 """
 
 from __future__ import annotations
@@ -62,15 +66,19 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
 SPACE = re.compile(r"\s+")
+#: Kinds of bad elements: by a name or as a form, which can be pardoned, and by tag or hidden.
+SOFT, HARD = 1, 2
+#: Less than this share of a page's points is little; so many points can be a page's text without a main heading.
+LITTLE, ENOUGH = 0.1, 5.0
 
 
 class Node:
     """An element: its parent, the words of its class, id and role, and running sums over its subtree."""
 
-    __slots__ = ("blocks", "bad", "children", "chars", "link", "names", "parent", "points", "tag")
+    __slots__ = ("bad", "children", "chars", "link", "names", "number", "parent", "points", "tag")
 
-    def __init__(self, tag: str, names: str, parent: Node | None, bad: bool) -> None:
-        self.tag, self.names, self.parent, self.bad = tag, names, parent, bad
+    def __init__(self, tag: str, names: str, parent: Node | None, bad: int, number: int = 0) -> None:
+        self.tag, self.names, self.parent, self.bad, self.number = tag, names, parent, bad, number
         self.children: list[Node] = []
         self.points = 0.0
         self.chars = 0
@@ -81,9 +89,47 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
 
 
-def parsed(page: str) -> tuple[Node, list[tuple[Node, str, int, bool]]]:
-    """The tree, and its text blocks in page order: (block element, text, characters in links, heading)."""
-    root = Node("#root", "", None, False)
+def weight(text: str, links: int, heading: bool) -> float:
+    """Points of a text block."""
+    points = 0.0 if heading else 1 + text.count(",") + min(len(text) / 100, 3)
+    return points * (1 - min(1.0, links / len(text)))
+
+
+class Doubt:
+    """Points of the texts that soft elements took, in all and by element, and the elements with a main heading."""
+
+    def __init__(self) -> None:
+        self.total = 0.0
+        self.points: dict[int, float] = {}
+        self.headed: set[int] = set()
+
+    def add(self, stack: list[Node], points: float) -> None:
+        self.total += points
+        for i, e in enumerate(stack):
+            if e.bad:
+                self.points[e.number] = self.points.get(e.number, 0.0) + points
+                if any(x.tag in {"h1", "main"} for x in stack[i:]):
+                    self.headed.add(e.number)
+
+    def pardoned(self, clean: float) -> set[int]:
+        """Numbers of the elements to take back next, outermost first, given the points of what is left without any."""
+        whole = clean + self.total
+        little = clean < LITTLE * whole
+        most = {
+            k
+            for k, p in self.points.items()
+            if p > whole / 2 and (k in self.headed or (little and p >= ENOUGH))
+        }
+        if most:
+            top = max(self.points[k] for k in most)
+            return {k for k in most if self.points[k] == top}
+        return set(self.points) if little and whole >= ENOUGH else set()
+
+
+def parsed(page: str, pardoned: set[int] | frozenset[int] = frozenset()) -> tuple[Node, list[tuple[Node, str, int, bool]], Doubt]:
+    """The tree, its text blocks in page order: (block element, text, characters in links, heading), and what soft elements took."""
+    root = Node("#root", "", None, 0)
+    doubt, number = Doubt(), 0
     stack = [root]
     blocks: list[tuple[Node, str, int, bool]] = []
     held: list[str] = []
@@ -96,15 +142,22 @@ def parsed(page: str) -> tuple[Node, list[tuple[Node, str, int, bool]]]:
             if text:
                 owner = next((e for e in reversed(stack) if e.tag in BLOCK or e is root), root)
                 links = len(SPACE.sub(" ", "".join(linked)).strip())
-                bad = any(e.bad for e in stack)
+                bad = max(e.bad for e in stack)
+                heading = any(e.tag in HEADING for e in stack)
                 if not bad:
-                    blocks.append((owner, text, links, any(e.tag in HEADING for e in stack)))
+                    blocks.append((owner, text, links, heading))
+                elif bad == SOFT:
+                    doubt.add(stack, weight(text, links, heading))
             held.clear()
             linked.clear()
 
     def text_of(part: str) -> None:
         part = html.unescape(part) if "&" in part else part
         if any(e.bad for e in stack if e.tag not in BLOCK):
+            lost = SPACE.sub(" ", part).strip()
+            if lost and max(e.bad for e in stack) == SOFT:
+                links = len(lost) if any(e.tag == "a" for e in stack) else 0
+                doubt.add(stack, weight(lost, links, any(e.tag in HEADING for e in stack)))
             return
         held.append(part)
         if any(e.tag == "a" for e in stack):
@@ -176,7 +229,7 @@ def parsed(page: str) -> tuple[Node, list[tuple[Node, str, int, bool]]]:
             flush()
         if tag == "a":
             close_open({"a"}, {"table", "td", "th"})
-        names, bad = "", tag in DROP
+        names, named, bad = "", False, tag in DROP and tag != "form"
         if raw.strip(" /"):
             a = attributes(raw)
             names = " ".join(a.get(k, "") for k in ("class", "id", "role")).strip()
@@ -185,30 +238,38 @@ def parsed(page: str) -> tuple[Node, list[tuple[Node, str, int, bool]]]:
                 or "hidden" in a
                 or a.get("aria-hidden", "").lower() == "true"
                 or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
-                or bool(tag not in {"html", "body", "article", "main"} and BAD_WORDS.search(names))
             )
+            named = bool(tag not in {"html", "body", "article", "main"} and BAD_WORDS.search(names))
         if tag == "header" and any(e.tag in {"article", "main"} for e in stack):
-            bad = bool(BAD_WORDS.search(names))  # an article's own heading
-        if tag == "figure" and not BAD_WORDS.search(names):
+            bad = False  # an article's own heading
+        if tag == "figure" and not named:
             bad = False
-        node = Node(tag, names, stack[-1], bad)
+        number += 1
+        soft = (named or tag == "form") and number not in pardoned
+        node = Node(tag, names, stack[-1], HARD if bad else SOFT if soft else 0, number)
         stack[-1].children.append(node)
         if not raw.rstrip().endswith("/") or tag in BLOCK or tag == "a":
             stack.append(node)
     flush()
-    return root, blocks
+    return root, blocks, doubt
 
 
 def extract(page: str | None) -> str:
     """Main text of one page; empty for null, empty or text-free pages."""
     if not page:
         return ""
-    root, blocks = parsed(page)
+    root, blocks, doubt = parsed(page)
+    back: set[int] = set()
+    while doubt.points:
+        more = doubt.pardoned(sum(weight(text, links, heading) for _, text, links, heading in blocks))
+        if not more:
+            break
+        back |= more
+        root, blocks, doubt = parsed(page, back)
     if not blocks:
         return ""
     for owner, text, links, heading in blocks:
-        points = 0.0 if heading else 1 + text.count(",") + min(len(text) / 100, 3)
-        points *= 1 - min(1.0, links / len(text))
+        points = weight(text, links, heading)
         node, share = owner.parent or owner, 1.0
         while node is not None:
             node.points += points * share

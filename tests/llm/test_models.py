@@ -147,6 +147,36 @@ def test_extraction():
     assert html_text.extract(deep) == "deep, inside"
 
 
+ARTICLE = "<h2>Line</h2>" + "".join(f"<p>Paragraph {i}, of the article, with some words, and more of them.</p>" for i in range(6))
+SIDE = '<div class="sidebar"><p>Other, things, here</p></div>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="layout has-sidebar"><div>{ARTICLE}</div>{SIDE}</div></body>',
+        f'<body><div class="content with-sidebar">{ARTICLE}</div>{SIDE}<footer><p>Foot, note</p></footer></body>',
+        f"<body><form action=x><div id=box>{ARTICLE}</div>{SIDE}<input name=q><button>Go</button></form></body>",
+        f'<body><app-root class="has-sidebar"><section>{ARTICLE}</section>{SIDE}</app-root></body>',
+        f'<form><div class="no-sidebar"><div class="content with-sidebar">{ARTICLE}</div></div>{SIDE}</form>',
+        f'<div id=a><p>A clean line, of the site, outside.</p></div><div class="has-sidebar"><main>{ARTICLE}</main></div>{SIDE}',
+    ],
+)
+def test_wrappers_with_bad_names_keep_the_article(page):
+    want = ["Line"] + [f"Paragraph {i}, of the article, with some words, and more of them." for i in range(6)]
+    assert html_text.extract(page).split("\n\n") == want
+
+
+def test_bad_names_still_drop_what_is_beside_the_article():
+    talk = "".join(f"<p>Comment {i}, great post, really, thanks, and so on, and on.</p>" for i in range(12))
+    got = html_text.extract(f'<div id=x>{ARTICLE}</div><div class="comments">{talk}</div><form><p>Subscribe, please, now</p></form>')
+    assert "Comment" not in got and "Subscribe" not in got and "Paragraph 5" in got
+    got = html_text.extract(f'<form><div id=x>{ARTICLE}</div><div class="comments">{talk}</div></form>')
+    assert "Comment" not in got and "Paragraph 5" in got
+    assert html_text.extract('<div class="cookie-notice"><p>We use cookies, and more.</p></div>') == ""
+    assert html_text.extract(f"<nav>{ARTICLE}</nav><div hidden>{ARTICLE}</div>") == ""
+
+
 def test_extraction_rows(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
