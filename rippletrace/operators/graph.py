@@ -8,6 +8,7 @@ Two ways lead to the same rows. Pairs of ordinary size are each closed inside on
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,7 +58,7 @@ def direct(edges: DataFrame, of: DataFrame, dependents: bool = True) -> DataFram
     )
 
 
-def reach(edges: DataFrame, seeds: DataFrame, dependents: bool = True, rounds: int = 1000) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, dependents: bool = True) -> DataFrame:
     """Nodes reached from the seeds (pair_id, node) with their least distance; seeds have distance 0.
 
     Each round expands only nodes not seen before and ends with an empty frontier.
@@ -67,7 +68,7 @@ def reach(edges: DataFrame, seeds: DataFrame, dependents: bool = True, rounds: i
     seen = stored(seeds.select("pair_id", "node").distinct().withColumn("distance", F.lit(0)), "reach")
     frontier = seen
     parts = [seen]
-    for d in range(1, rounds + 1):
+    for d in count(1):
         step = (
             frontier.select("pair_id", "node")
             .join(arcs, ["pair_id", "node"])
@@ -81,11 +82,16 @@ def reach(edges: DataFrame, seeds: DataFrame, dependents: bool = True, rounds: i
             discard(frontier)
             break
         parts.append(frontier)
-        seen = seen.union(frontier)
+        seen = _union(parts)
+        if len(parts) > MERGE_AFTER:
+            seen = stored(seen, "reach")
+            for old in parts[:-1]:
+                discard(old)
+            parts = [seen]
     return seen
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 1000, with_paths: bool = True) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, with_paths: bool = True) -> DataFrame:
     """Each reached node's best label: (seq, distance, path), least first.
 
     ``seeds`` is (pair_id, node, seq). A node takes the least seq that reaches it, then the
@@ -95,7 +101,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 1000, with_paths
     label = F.struct(F.col("seq"), F.lit(0).alias("distance"), start.alias("path"))
     frontier = stored(seeds.groupBy("pair_id", "node").agg(F.min(label).alias("label")), "labels")
     parts = [frontier]  # each round's improvements; a node's label is the least of its rows
-    for _ in range(rounds):
+    while True:
         after = F.struct(
             F.col("label.seq").alias("seq"),
             (F.col("label.distance") + 1 if with_paths else F.lit(0)).alias("distance"),
@@ -231,11 +237,11 @@ def alternative_path_counts(edges: DataFrame, ends: DataFrame) -> DataFrame:
     )
 
 
-def cyclic_core(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges left after peeling off nodes without a way in or out again and again: empty iff there is no cycle."""
     now = stored(edges.select("pair_id", "src", "dst").distinct(), "peel")
     size = now.count()
-    for _ in range(rounds):
+    while True:
         into = now.select("pair_id", F.col("dst").alias("src")).distinct()
         out = now.select("pair_id", F.col("src").alias("dst")).distinct()
         after = stored(now.join(into, ["pair_id", "src"], "left_semi").join(out, ["pair_id", "dst"], "left_semi"), "peel")
@@ -248,12 +254,12 @@ def cyclic_core(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return now
 
 
-def least_ancestors(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def least_ancestors(edges: DataFrame) -> DataFrame:
     """For each node the least node that reaches it, itself included: pair_id, node, color."""
     ends = edges.select("pair_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
     frontier = stored(ends.withColumn("color", F.col("node")), "colors")
     parts = [frontier]
-    for _ in range(rounds):
+    while True:
         offered = (
             frontier.withColumnRenamed("node", "src")
             .join(edges, ["pair_id", "src"])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rippletrace.operators.graph import MERGE_AFTER, _union
 from rippletrace.runtime import discard, stored
 
 SIGNS = ("payload_sha256", "transform_id", "op", "transform_class_id")
@@ -208,7 +211,7 @@ def seeds(a: DataFrame, b: DataFrame) -> DataFrame:
     return every.groupBy("pair_id", "id").agg(F.transform(F.array_sort(F.collect_set("why")), lambda w: w["reason"]).alias("reasons"))
 
 
-def downstream(edges_b: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame:
+def downstream(edges_b: DataFrame, start: DataFrame) -> DataFrame:
     """Steps reached downstream of the seeds in graph B: pair_id, id, distance, parent, via, path.
 
     Breadth first over step -> table -> step; a step's parent is the least (step, table)
@@ -222,8 +225,8 @@ def downstream(edges_b: DataFrame, start: DataFrame, rounds: int = 1000) -> Data
     hop = stored(hop, "hops")
     none = F.lit(None).cast("string")
     level = stored(start.select("pair_id", "id", F.lit(0).alias("distance"), none.alias("parent"), none.alias("via"), F.array("id").alias("path")), "level")
-    seen = level
-    for d in range(1, rounds + 1):
+    seen, parts = level, [level]
+    for d in count(1):
         step = (
             level.select("pair_id", F.col("id").alias("parent"), "path")
             .join(hop, ["pair_id", "parent"])
@@ -236,7 +239,13 @@ def downstream(edges_b: DataFrame, start: DataFrame, rounds: int = 1000) -> Data
         if level.isEmpty():
             discard(level)
             break
-        seen = seen.unionByName(level)
+        parts.append(level)
+        seen = _union(parts)
+        if len(parts) > MERGE_AFTER:
+            seen = stored(seen, "level")
+            for old in parts[:-1]:
+                discard(old)
+            parts = [seen]
     return seen
 
 

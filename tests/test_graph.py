@@ -1,8 +1,10 @@
+import inspect
 import random
 
 import pytest
 
 from rippletrace.operators import graph as G
+from rippletrace.operators import lineage
 
 
 def frame(spark, edges, pair="p"):
@@ -21,6 +23,21 @@ def test_both_closures_agree(spark, seed):
     assert one == two == three
 
 
+def test_closures_have_no_depth_bound(spark):
+    for f in (G.reach, G.propagate, G.cyclic_core, G.least_ancestors, lineage.downstream):
+        assert "rounds" not in inspect.signature(f).parameters
+    edges = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)]  # more levels than tables that are kept apart
+    start = spark.createDataFrame([("p", "n00", 1)], "pair_id string, node string, seq long")
+    want = {(f"n{i:02d}", i) for i in range(21)}
+    assert {(r["node"], r["distance"]) for r in G.reach(frame(spark, edges), start).collect()} == want
+    assert {(r["node"], r["distance"]) for r in G.propagate(frame(spark, edges), start).collect()} == want
+    assert {(r["node"], r["distance"]) for r in G.propagate_pairs(frame(spark, edges), start).collect()} == want
+    flow = [e for i in range(20) for e in ((f"n{i:02d}", f"t{i}", "produces"), (f"t{i}", f"n{i + 1:02d}", "consumes"))]
+    flow = spark.createDataFrame([("p", *e) for e in flow], "pair_id string, src string, dst string, kind string")
+    below = lineage.downstream(flow, start.select("pair_id", start["node"].alias("id"))).collect()
+    assert {(r["id"], r["distance"]) for r in below} == want and max(len(r["path"]) for r in below) == 41
+
+
 def test_alternative_paths(spark):
     edges = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "d"), ("d", "e")]
     ends = spark.createDataFrame([("p", "a", "d", 1), ("p", "a", "e", 2), ("p", "b", "d", 1)], "pair_id string, start string, node string, distance int")
