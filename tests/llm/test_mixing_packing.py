@@ -114,6 +114,16 @@ def test_evolution_never_loses_a_piece():
     assert n[1] <= n[0] <= max(-(-sum(lengths) // 100), large) + 6
 
 
+def test_rows_without_an_id_pass_the_near_duplicate_stage(spark):
+    import corpus_pipeline as P
+
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text), (2, text), (None, text), (None, "some other words, and a few more of them"), (3, "short"), (3, "short")]
+    kept = P.drop_near_duplicates(spark, frame(spark, rows), "")
+    assert kept.columns == list(P.COLUMNS)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted((i or 0, t) for i, t in rows if i != 2)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
