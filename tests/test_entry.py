@@ -1,5 +1,6 @@
 import sys
 import types
+from importlib.abc import MetaPathFinder
 
 import pytest
 
@@ -19,3 +20,24 @@ def test_only_a_missing_module_is_forgiven(tmp_path, monkeypatch):
     with pytest.raises(ModuleNotFoundError):
         entry.optional("broken_module")
     assert isinstance(entry.optional("json"), types.ModuleType) and "json" in sys.modules
+
+
+class Hidden(MetaPathFinder):
+    """Makes the subpackage of training-data operators look deleted."""
+
+    def find_spec(self, fullname, path=None, target=None):
+        if fullname == entry.OPTIONAL or fullname.startswith(entry.OPTIONAL + "."):
+            raise ModuleNotFoundError(f"No module named {fullname!r}", name=entry.OPTIONAL)
+        return None
+
+
+def test_registry_without_the_training_data_operators(monkeypatch):
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith(entry.OPTIONAL)]:
+        monkeypatch.delitem(sys.modules, name)
+    import rippletrace
+
+    monkeypatch.delattr(rippletrace, "llm", raising=False)
+    monkeypatch.setattr(sys, "meta_path", [Hidden(), *sys.meta_path])
+    queries, sql = entry.queries(), entry.oracle_sql()
+    assert "impact_reasons" in queries and "impact_reasons" in sql
+    assert "pipeline" not in queries and not [q for q in [*queries, *sql] if q.startswith("op1")]
