@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from rippletrace.llm.common import discard, stored
 
+#: Edges (16 bytes each) that one task closes at once; more take the distributed way, with the same result.
+ALONE = 200_000
 EDGE = "a long, b long"
 EDGE_TYPE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -55,18 +57,35 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").filter("a <> b").mapInArrow(run, EDGE)
 
 
-def components(edges: DataFrame, rounds: int = 50, contract: bool = True) -> DataFrame:
+def closed(edges: DataFrame) -> DataFrame:
+    """Stars of the components of few edges, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches if x.num_rows]
+        if held:
+            a, b = forest(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=EDGE_TYPE)
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, EDGE)
+
+
+def components(edges: DataFrame, contract: bool = True, alone: int | None = None) -> DataFrame:
     """node and component (its least node) for every node of the edges (a, b), by alternating star contraction.
 
     Each round links every node's larger neighbours to its least neighbour and writes the
-    edges to the shared folder; it ends when a round changes nothing. A node with very
+    edges to the shared folder; it ends when a round changes nothing, never before. A node with very
     many neighbours is one row of an aggregate and a skewed join that Spark may split.
     Edges that are stars within their partitions already need no contraction.
     """
     first = contracted(edges) if contract else edges.select("a", "b").filter("a <> b")
     now = stored(first.distinct(), "edges")
+    if now.count() <= (ALONE if alone is None else alone):
+        now = stored(closed(now), "edges")
+        return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
+            now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+        )
     mark = None
-    for _ in range(rounds):
+    while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # aggregates are written first: then both sides of a join are plain exchanges, which Spark splits where skewed
         low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")

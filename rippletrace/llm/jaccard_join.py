@@ -2,18 +2,21 @@
 
 A document's shingles are XOR-hashed into a sketch whose Hamming distance never exceeds
 the symmetric difference of two sets. A similarity threshold bounds that difference by
-the two sizes, so inside a band of sizes the sketch is cut into two more parts than there
-can be differences: similar sets agree on two whole parts (pigeonhole) and meet by
-equality of one that is well filled or of both. Groups of documents that share parts are
-then compared exactly.
-
-Equal sets are one class from the start (their digest), so copies never form pairs.
+the two sizes, so inside a band of sizes the sketch is cut into more parts than there can
+be differences and runs of parts together: in some run similar sets agree on two whole
+parts (pigeonhole, twice) and meet by equality of one that is well filled or of both.
+Groups of documents that share parts are then compared exactly.
+
+Equal sets are one class from the start (their digest), so copies never form pairs. Groups
+too large for one task are split by whole sketches, a fortieth of the text: sets whose
+sketches are too far apart part company. What is still large is compared with the middle
+of its sketches, set by set; only sets that this leaves apart meet block by block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,12 @@ from rippletrace.llm.graph import EDGE, EDGE_TYPE, components, forest
 
 CHUNK = 1 << 20
 #: A part with fewer shingles says little: by itself, an empty one would join a whole size band. Weak parts
-#: count in pairs, and only where a set has fewer than FEW stronger ones: similar sets agree on a third of
-#: their parts at the least, so FEW strong parts miss a pair at the very threshold once in three million.
-WEAK, FEW = 4, 32
-#: Shingles of a group that one task compares; larger groups are compared block by block.
-BLOCK = 1_500_000
+#: count in pairs, formed inside runs of RUN neighbouring parts, so keys stay in proportion to shingles.
+WEAK, RUN = 3, 8
+#: Shingles and sets of a group that one task compares; larger groups are first refined by whole sketches.
+BLOCK, ROWS = 1_500_000, 128
+#: Sets of a size band that one task compares by sketches.
+SKETCHES = 2048
 SKETCH_WORDS = 32
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -65,6 +69,16 @@ class Shingles:
         self.first = np.searchsorted(self.row, np.arange(len(counts) + 1))
         self.size = np.diff(self.first)
 
+    def sketches(self) -> list[bytes]:
+        """Each set's parity sketch of a power of two of bits, at least one a shingle; halves fold into a shorter one."""
+        bits = 1 << np.ceil(np.log2(np.maximum(self.size, 64))).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(bits)])
+        at = first[self.row] + ((self.hash >> np.uint64(20)).astype(np.int64) & (bits[self.row] - 1))
+        odd = np.bincount(at, minlength=first[-1]).astype(np.uint8) & 1
+        blob = np.packbits(odd, bitorder="little").tobytes()
+        cut = (first >> 3).tolist()
+        return [blob[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
     def digests(self) -> np.ndarray:
         """A 64-bit digest of each row's set; 0 for an empty one."""
         sums = np.zeros(len(self.hash) + 1, dtype=np.uint64)
@@ -81,26 +95,42 @@ def bands(percent: int, largest: int) -> np.ndarray:
     return np.array(out)
 
 
-def parts_of(bounds: np.ndarray, percent: int) -> np.ndarray:
-    """For each band as the larger set's: two parts more than two similar sets can differ by; 0 if by none."""
-    most = 2 * (bounds[1:] - 1) * (100 - percent) // (100 + percent)
-    return np.where(most > 0, most + 2, 0)  # equal sets have equal digests
+def most_different(bounds: np.ndarray, percent: int) -> np.ndarray:
+    """For each band as the larger set's: how many shingles two similar sets can differ by at the most."""
+    return 2 * (bounds[1:] - 1) * (100 - percent) // (100 + percent)
 
 
-@cache
-def pairs_of(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(n, 1)
+def parts_of(bounds: np.ndarray, percent: int) -> np.ndarray:
+    """For each band as the larger set's: parts to cut a sketch into; 0 where similar sets are equal (by digest).
+
+    There is at least one part more than differences and runs together. Larger bands get
+    some more parts, so that hardly any set needs its empty ones (see :func:`part_keys`).
+    """
+    most = most_different(bounds, percent)
+    m = most + 1
+    for _ in range(40):  # a contraction: each round adds an eighth of what the last one added
+        empty = m * np.exp(-(bounds[1:] - 1) * 0.95 / m)
+        spare = np.where(m >= 3 * RUN, np.ceil(empty + 3 * np.sqrt(empty) + 1), 0).astype(np.int64)
+        m = np.maximum(m, most + 1 + -(-m // RUN) + spare)
+    m = np.maximum(m, most + 1 + -(-m // RUN))
+    return np.where(most > 0, m, 0)
 
 
 def part_keys(s: Shingles, use: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the parts of the used rows' sketches, with each key's row."""
+    """Keys of the parts of the used rows' sketches, with each key's row.
+
+    Two similar sets of a band agree on more parts than there are runs, so on two of one
+    run; well-filled ones are keys, weak ones form keys in pairs. Where a set has more
+    filled parts than differences and runs together, all this holds for filled parts
+    alone, and its empty ones say nothing; a similar set agrees on those filled parts.
+    """
     bounds = bands(percent, int(s.size.max(initial=1)) * 100 // percent + 1)
-    m_of = parts_of(bounds, percent)
+    m_of, most = parts_of(bounds, percent), most_different(bounds, percent)
     band = np.searchsorted(bounds, s.size, side="right") - 1
     keys, owners = [], []
     for step in (0, 1):  # as the larger set, or as the smaller one of a set in the next band
-        group = band + step
-        m = np.where(use, m_of[np.minimum(group, len(m_of) - 1)], 0)
+        group = np.minimum(band + step, len(m_of) - 1)
+        m = np.where(use, m_of[group], 0)
         base = np.concatenate([[0], np.cumsum(m)])
         mine = m[s.row] > 0
         if not mine.any():
@@ -118,35 +148,38 @@ def part_keys(s: Shingles, use: np.ndarray, percent: int) -> tuple[np.ndarray, n
         owner = np.repeat(np.arange(len(m)), m)
         number = np.arange(base[-1]) - base[owner]
         strong = count >= WEAK
-        enough = np.bincount(owner, weights=strong, minlength=len(m)) >= FEW
         key = hashing.mixed(
             sketch + hashing.mixed((group[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64))
         )
         keys.append(key[strong])
         owners.append(owner[strong])
-        weak = np.flatnonzero(~strong & ~enough[owner])
-        cuts = np.flatnonzero(np.diff(owner[weak])) + 1
-        for mine in np.split(weak, cuts) if len(weak) else ():
-            i, j = pairs_of(len(mine))
-            keys.append(hashing.mixed(key[mine[i]] * np.uint64(hashing.BASE) + key[mine[j]]))
-            owners.append(np.full(len(i), owner[mine[0]]))
+        filled = np.bincount(owner, weights=count > 0, minlength=len(m))
+        enough = filled > most[group] + -(-m // RUN)
+        weak = np.flatnonzero(~strong & ((count > 0) | ~enough[owner]))
+        run = owner[weak] * np.int64(1 << 32) + number[weak] // RUN
+        for apart in range(1, RUN):  # the parts of a run follow one another
+            i = np.flatnonzero(run[apart:] == run[:-apart])
+            if not len(i):
+                break
+            keys.append(hashing.mixed(key[weak[i]] * np.uint64(hashing.BASE) + key[weak[i + apart]]))
+            owners.append(owner[weak[i]])
     if not keys:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     return np.concatenate(keys), np.concatenate(owners)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and digest of every row."""
+    """doc_id, n_shingles, digest and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "text", CHUNK):
             s = Shingles(batch.column(1), k)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(s.size.astype(np.int64)), pa.array(s.digests())],
-                names=["doc_id", "n_shingles", "digest"],
+                [batch.column(0), pa.array(s.size.astype(np.int64)), pa.array(s.digests()), pa.array(s.sketches(), pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest long, sketch binary")
 
 
 def shared_parts(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
@@ -193,8 +226,10 @@ def shared_parts(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame
     return packed.repartitionById(parts, F.col("part")).mapInArrow(meet, EDGE)
 
 
-def linked(sets: list[np.ndarray], block: list[int], percent: int, cross: bool) -> list[tuple[int, int]]:
-    """Links that connect the sets exactly as all similar pairs would; between blocks only, if ``cross``."""
+def linked(
+    sets: list[np.ndarray], block: list[int], percent: int, cross: bool, label: list[int]
+) -> list[tuple[int, int]]:
+    """Links that connect the sets exactly as all similar pairs would, those of one label being connected already; between blocks only, if ``cross``."""
     n = len(sets)
     size = np.array([len(x) for x in sets])
     sketch = np.zeros((n, SKETCH_WORDS), dtype=np.uint64)
@@ -205,7 +240,7 @@ def linked(sets: list[np.ndarray], block: list[int], percent: int, cross: bool)
     order = np.argsort(size, kind="stable")
     size, sketch = size[order], sketch[order]
     side = np.array(block)[order]
-    root = np.arange(n)
+    root = np.unique(np.array(label), return_inverse=True)[1][order]
     out: list[tuple[int, int]] = []
     for i in range(n):
         to = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
@@ -226,14 +261,206 @@ def linked(sets: list[np.ndarray], block: list[int], percent: int, cross: bool)
     return out
 
 
+def alike(size: np.ndarray, sketch: list[bytes], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that connect sets exactly as all pairs do whose sketches allow similarity; between two sides, if there are two.
+
+    The set nearest to the majority of all sketches goes first: of near copies it is the
+    likeliest original, so their edges form a star around it.
+    """
+    order = np.argsort(size, kind="stable")
+    size, side = size[order], side[order]
+    sketch = [sketch[i] for i in order.tolist()]
+    width = np.array([len(x) // 8 for x in sketch])
+    cross = len(np.unique(side)) > 1
+    root = np.arange(len(size))
+    out: list[tuple[int, int]] = []
+
+    def step(i: int, js: np.ndarray, rows: np.ndarray, start: int) -> None:
+        js = js[root[js] != root[i]]
+        if cross:
+            js = js[side[js] != side[i]]
+        if not len(js):
+            return
+        apart = np.bitwise_count(rows[js - start] ^ rows[i - start]).sum(axis=1, dtype=np.int64)
+        js = js[apart * (100 + percent) <= (size[js] + size[i]) * (100 - percent)]
+        if len(js):
+            found, which = np.unique(root[js], return_index=True)
+            out.extend((int(order[i]), int(order[j])) for j in js[which].tolist())
+            root[np.isin(root, found)] = root[i]
+
+    widths, many = np.unique(width, return_counts=True)
+    for w, n in zip(widths.tolist(), many.tolist(), strict=True):
+        start, end = (int(x) for x in np.searchsorted(width, [w, w + 1]))
+        stop = int(np.searchsorted(size, size[end - 1] * 100 // percent, side="right"))
+        rows = np.empty((stop - start, w), dtype=np.uint64)
+        for i in range(start, stop):
+            x = np.frombuffer(sketch[i], "<u8")
+            rows[i - start] = x if len(x) == w else np.bitwise_xor.reduce(x.reshape(-1, w), axis=0)
+        if n == many.max() and n > 2 and not cross:
+            ones = np.zeros(64 * w, dtype=np.int64)
+            for a in range(0, n, 1024):
+                ones += np.unpackbits(rows[a : min(n, a + 1024)].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+            middle = np.packbits(ones * 2 > n).view(np.uint64)
+            i = start + int(np.bitwise_count(rows[:n] ^ middle).sum(axis=1, dtype=np.int64).argmin())
+            low, high = np.searchsorted(size, [-(-size[i] * percent // 100), size[i] * 100 // percent + 1])
+            step(i, np.arange(max(start, low), min(stop, high)), rows, start)
+        for i in range(start, end):
+            to = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
+            if to > i + 1:
+                step(i, np.arange(i + 1, to), rows, start)
+    return out
+
+
+def sketch_edges(members: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between sets of a component (component, digest, n_shingles, sketch) that their sketches allow to be similar.
+
+    Sets meet by size bands no narrower than the threshold, a band and its neighbour at a
+    time, large bands in parts. Rows travel packed by band.
+    """
+    band = F.floor(F.log("n_shingles") / (1.001 * math.log(100 / percent))).cast("int")
+    banded = stored(members.withColumn("band", band), "banded")
+    parts = stored(
+        banded.groupBy("component", "band").agg(F.ceil(F.count("*") / SKETCHES).cast("int").alias("parts")), "bands"
+    )
+    dealt = banded.join(parts, ["component", "band"]).withColumn("sub", F.pmod(F.xxhash64("digest"), "parts").cast("int"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = pa.Table.from_batches([batch]).group_by(["component", "band", "sub", "parts"], use_threads=False)
+                packed = found.aggregate([("digest", "list"), ("n_shingles", "list"), ("sketch", "list")])
+                yield from packed.rename_columns(["component", "band", "sub", "parts", "digests", "sizes", "sketches"]).to_batches()
+
+    columns = ["component", "band", "sub", "parts", "digest", "n_shingles", "sketch"]
+    packed = dealt.select(*columns).mapInArrow(
+        pack, "component long, band int, sub int, parts int, digests array<long>, sizes array<long>, sketches array<binary>"
+    )
+    nearby = parts.select(
+        "component", (F.col("band") - 1).alias("band"), F.col("parts").alias("above")
+    ).join(parts.select("component", "band"), ["component", "band"])
+    above = packed.join(nearby, ["component", "band"], "left")
+    below = parts.select("component", (F.col("band") + 1).alias("band"), F.col("parts").alias("under"))
+    placed = above.join(below, ["component", "band"], "left")
+    unit = lambda band, low, high: F.struct(band.alias("band"), low.cast("int").alias("low"), high.cast("int").alias("high"))
+    own = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda t: unit(F.col("band"), F.least("sub", t), F.greatest("sub", t)),
+    )
+    none = F.array().cast("array<struct<band:int,low:int,high:int>>")
+    # units of two bands carry the upper one's parts as negative numbers
+    up = F.when(
+        F.col("above").isNotNull(),
+        F.transform(F.sequence(F.lit(1), F.col("above")), lambda t: unit(F.col("band"), F.col("sub"), -t)),
+    ).otherwise(none)
+    down = F.when(
+        F.col("under").isNotNull(),
+        F.transform(F.sequence(F.lit(0), F.col("under") - 1), lambda t: unit(F.col("band") - 1, t, -F.col("sub") - 1)),
+    ).otherwise(none)
+    units = placed.select("component", F.explode(F.concat(own, up, down)).alias("u"), "band", "sub", "digests", "sizes", "sketches")
+    units = units.select("component", F.col("u.band").alias("at"), "u.low", "u.high", "band", "sub", "digests", "sizes", "sketches")
+
+    def compare(group: pa.Table) -> pa.Table:
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        at = group.column("at")[0].as_py()
+        digest, size, sketch, side = [], [], [], []
+        for row in group.select(["band", "sub", "digests", "sizes", "sketches"]).to_pylist():
+            upper = row["band"] > at if high < 0 else row["sub"] == high and low != high
+            digest += row["digests"]
+            size += row["sizes"]
+            sketch += row["sketches"]
+            side += [upper] * len(row["digests"])
+        if (high < 0 or low != high) and (all(side) or not any(side)):
+            return EDGE_TYPE.empty_table()
+        one, first = np.unique(np.array(digest), return_index=True)
+        pairs = alike(np.array(size)[first], [sketch[i] for i in first.tolist()], np.array(side)[first], percent)
+        return pa.table([pa.array([one[i] for i, _ in pairs], pa.int64()), pa.array([one[j] for _, j in pairs], pa.int64())], schema=EDGE_TYPE)
+
+    return units.groupBy("component", "at", "low", "high").applyInArrow(compare, EDGE)
+
+
+def sets_of(table: pa.Table, k: int) -> dict[int, np.ndarray]:
+    """The shingle set of each digest in a table of digest and text; rows whose text has another digest say nothing."""
+    out: dict[int, np.ndarray] = {}
+    at, want = table.schema.get_field_index("text"), table.schema.get_field_index("digest")
+    for batch in chunked(iter(table.combine_chunks().to_batches()), "text", CHUNK):
+        s = Shingles(batch.column(at), k)
+        for a, b, own, digest in zip(s.first[:-1], s.first[1:], s.digests().tolist(), batch.column(want).to_pylist(), strict=True):
+            if own == digest and digest not in out:
+                out[digest] = s.hash[a:b].copy()
+    return out
+
+
+def star_links(edges: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The edges (a, b) whose sets are similar, exactly: every set meets its star's center, large stars in parts."""
+    parts = stored(edges.groupBy("a").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts")), "stars")
+    leaf = F.pmod(F.xxhash64("b"), "parts").cast("int")
+    leaves = edges.join(parts, "a").select("a", leaf.alias("part"), F.col("b").alias("digest"))
+    centers = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("digest"))
+    named = leaves.unionByName(centers).join(classes.select("digest", "doc_id"), "digest")
+    units = texts.join(named.hint("merge"), "doc_id")
+
+    def compare(group: pa.Table) -> pa.Table:
+        a, sets = group.column("a")[0].as_py(), sets_of(group, k)
+        center = sets.pop(a)
+        found = []
+        for digest, x in sorted(sets.items()):
+            both = len(np.intersect1d(center, x, assume_unique=True))
+            if 100 * both >= percent * (len(center) + len(x) - both):
+                found.append(digest)
+        return pa.table([pa.array([a] * len(found), pa.int64()), pa.array(found, pa.int64())], schema=EDGE_TYPE)
+
+    return units.select("a", "part", "digest", "text").groupBy("a", "part").applyInArrow(compare, EDGE)
+
+
+def unit_blocks(classes: DataFrame, sizes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """doc_id, digest, label, component, and the unit (i, j) and block of each comparison that a set takes part in.
+
+    A small group is one unit. In a large one the sets of its most frequent label are
+    linked already: only the others meet one another and those, block by block.
+    """
+    named = classes.join(sizes.filter("n > 1"), "component")
+    zero = F.lit(0)
+    small = named.filter(f"n <= {ROWS} AND shingles <= {BLOCK}").select(
+        "doc_id", "digest", F.col("digest").alias("label"), "component", zero.alias("i"), zero.alias("j"), zero.alias("block")
+    )
+    if labels is None:
+        return small
+    hot = named.filter(f"n > {ROWS} OR shingles > {BLOCK}").drop("n", "shingles")
+    own = stored(
+        hot.join(labels, F.col("digest") == F.col("node"), "left").select(
+            "doc_id", "digest", "n_shingles", "component", F.coalesce("label", "digest").alias("label")
+        ),
+        "labels",
+    )
+    counted = own.groupBy("component", "label").agg(F.count("*").alias("n"))
+    most = counted.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    sided = stored(own.join(stored(most, "most"), "component").withColumn("linked", F.col("label") == F.col("most")), "sided")
+    blocks = lambda of: F.coalesce(
+        F.greatest(F.ceil(F.count_if(of) / ROWS), F.ceil(F.sum(F.when(of, F.col("n_shingles"))) / BLOCK)), zero
+    ).cast("int")
+    split = sided.groupBy("component").agg(blocks(~F.col("linked")).alias("loose"), blocks(F.col("linked")).alias("tied"))
+    spot = lambda n: F.pmod(F.xxhash64("digest"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    dealt = (
+        sided.join(stored(split.filter("loose > 0"), "split"), "component")
+        .withColumn("block", F.when(F.col("linked"), F.col("loose") + spot("tied")).otherwise(spot("loose")))
+        .withColumn("to", F.when(F.col("linked"), F.col("loose")).otherwise(F.col("loose") + F.col("tied")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("to") - 1)))
+    )
+    large = dealt.select(
+        "doc_id", "digest", "label", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block"
+    )
+    return small.unionByName(large)
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Link texts whose k-word shingle sets have 100 * intersection >= percent * union.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; with fewer than k words the
     whole sequence is the one shingle. Returns one row per input row: doc_id, n_shingles,
     component_id (least doc_id reachable by links). Null or wordless texts have an empty
-    set and link with nothing; equal texts share a component; an empty table gives an
-    empty result.
+    set and link with nothing; equal texts share a component; a row without a doc_id is
+    linked with nothing but by equality and has the component of its equals (null, if it has
+    none with an id); repeated rows are one class; an empty table gives an empty result.
     """
     spark = session(docs.sparkSession)
     parts = partitions(spark)
@@ -241,7 +468,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sets = stored(shingle_sets(slim, k), "sets")
     groups = stored(components(shared_parts(slim, k, percent, parts), contract=False), "groups")
 
-    # one document of each class in a group, and how many blocks its group needs
+    # one document of each class in a group
     classes = (
         sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("digest")
@@ -250,46 +477,39 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         .select("doc_id", "digest", "n_shingles", "component")
     )
     classes = stored(classes, "classes")
-    sizes = classes.groupBy("component").agg(
-        F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")
-    )
-    placed = (
-        classes.join(sizes, "component")
-        .filter("n > 1")
-        .select(
-            "doc_id",
-            "digest",
-            "component",
-            "blocks",
-            F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block"),
-        )
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = (
-        slim.join(placed.hint("merge"), "doc_id")  # the same way at every size: no broadcast of what grows
-        .withColumn("other", other)
-        .select(
-            "component",
-            F.least("block", "other").alias("i"),
-            F.greatest("block", "other").alias("j"),
-            "block",
-            "digest",
-            "text",
+
+    def measured(of: DataFrame) -> DataFrame:
+        return stored(of.groupBy("component").agg(F.sum("n_shingles").alias("shingles"), F.count("*").alias("n")), "sizes")
+
+    sizes = measured(classes)
+    crowded = f"n > {ROWS} OR shingles > {BLOCK}"
+    large = sizes.filter(crowded).select("component")
+    proven = labels = None
+    if not large.isEmpty():
+        # a large group's sets that no sketch holds together go their own ways
+        members = classes.join(large, "component", "left_semi").join(
+            sets.select("doc_id", "digest", "sketch").hint("merge"), ["doc_id", "digest"]
         )
+        edges = stored(sketch_edges(members.select("component", "digest", "n_shingles", "sketch"), percent).distinct(), "near")
+        finer = stored(components(edges), "finer")
+        refined = classes.drop("component").join(finer, F.col("digest") == F.col("node")).select(*classes.columns)
+        classes = stored(classes.join(large, "component", "left_anti").unionByName(refined), "classes")
+        sizes = measured(classes)
+        hot = stored(classes.join(sizes.filter(crowded), "component", "left_semi").select(F.col("digest").alias("a")), "hot")
+        if not hot.isEmpty():
+            proven = stored(star_links(edges.join(hot, "a", "left_semi"), classes, slim, k, percent), "proven")
+            labels = stored(components(proven).withColumnRenamed("component", "label"), "labels")
+    placed = unit_blocks(classes, sizes, labels)
+    units = slim.join(placed.hint("merge"), "doc_id").select(  # the same way at every size: no broadcast of what grows
+        "component", "i", "j", "block", "digest", "label", "text"
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        found: list[np.ndarray] = []
-        digests = table.column("digest").to_pylist()
-        _, keep = np.unique(np.array(digests), return_index=True)
-        table = table.take(pa.array(keep))
-        digests = table.column("digest").to_pylist()
-        for batch in chunked(iter(table.to_batches()), "text", CHUNK):
-            s = Shingles(batch.column(batch.schema.get_field_index("text")), k)
-            found += [s.hash[a:b].copy() for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
+        sets = sets_of(table, k)
+        about = dict(zip(table.column("digest").to_pylist(), zip(table.column("block").to_pylist(), table.column("label").to_pylist(), strict=True), strict=True))
+        digests = list(sets)
         cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        links = linked(found, table.column("block").to_pylist(), percent, cross)
+        links = linked([sets[d] for d in digests], [about[d][0] for d in digests], percent, cross, [about[d][1] for d in digests])
         return pa.table(
             {
                 "a": pa.array([digests[x] for x, _ in links], pa.int64()),
@@ -298,8 +518,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         )
 
     links = units.groupBy("component", "i", "j").applyInArrow(compare, EDGE)
-    joined = components(links, contract=False)
-    named = sets.join(joined, sets["digest"] == joined["node"], "left").select(
+    joined = components(links if proven is None else links.unionByName(proven), contract=False)
+    named = sets.select("doc_id", "n_shingles", "digest").join(joined, F.col("digest") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "digest").alias("class")
     )
     least = named.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"))
