@@ -104,15 +104,37 @@ def bundle_stats(files: DataFrame) -> DataFrame:
     return best.select("bundle", "table", "column", "b.section", parsed.withField("top_values", values).withField("top_counts", counts).alias("stats"))
 
 
-def value_evidence(changed: DataFrame, stats_a: DataFrame, stats_b: DataFrame, columns_b: DataFrame | None = None) -> DataFrame:
-    """Evidence for directly changed variables (pair_id, var_id, table, column).
-
-    pair_id, var_id, available, kind, summary, failure_reason, attempted. Schema evidence
-    of the new side decides first: a column that its table no longer has is reported as
-    gone. ``stats`` are (pair_id, table, column, stats).
+def evidence_tables(files: DataFrame) -> DataFrame:
+    """What each bundle with runtime evidence describes: bundle, tables (names; null without that section)."""
+    return S.artifact(files, S.EVIDENCE, S.EVIDENCE_DDL).select("bundle", F.map_keys("a.tables").alias("tables"))
+
+
+def value_evidence(
+    changed: DataFrame,
+    stats_a: DataFrame,
+    stats_b: DataFrame,
+    columns_b: DataFrame | None = None,
+    told_a: DataFrame | None = None,
+    told_b: DataFrame | None = None,
+) -> DataFrame:
+    """Evidence for directly changed variables (pair_id, var_id, table, column, and old_table, old_column where they differ).
+
+    pair_id, var_id, available, kind, summary, failure_reason, attempted, old, new. Schema
+    evidence of the new side decides first: a column that its table no longer has is
+    reported as gone. ``stats`` are (pair_id, table, column, stats); ``told`` the tables of
+    each side's evidence (pair_id, tables), by default those of the statistics.
     """
+    if "old_table" not in changed.columns:
+        changed = changed.withColumns({"old_table": F.col("table"), "old_column": F.col("column")})
     key = ["pair_id", "table", "column"]
-    joined = changed.join(stats_a.withColumnRenamed("stats", "old"), key, "left").join(stats_b.withColumnRenamed("stats", "new"), key, "left")
+    told = lambda stats, given: stats.groupBy("pair_id").agg(F.collect_set("table").alias("tables")) if given is None else given
+    old_key = {"table": "old_table", "column": "old_column", "stats": "old"}
+    joined = (
+        changed.join(stats_a.withColumnsRenamed(old_key), ["pair_id", "old_table", "old_column"], "left")
+        .join(stats_b.withColumnRenamed("stats", "new"), key, "left")
+        .join(told(stats_a, told_a).select("pair_id", F.col("tables").alias("told_a"), F.lit(True).alias("any_a")), "pair_id", "left")
+        .join(told(stats_b, told_b).select("pair_id", F.col("tables").alias("told_b"), F.lit(True).alias("any_b")), "pair_id", "left")
+    )
     if columns_b is not None:
         has = columns_b.select(*key).distinct().withColumn("present", F.lit(True))
         tables = columns_b.select("pair_id", "table").distinct().withColumn("described", F.lit(True))
@@ -120,15 +142,31 @@ def value_evidence(changed: DataFrame, stats_a: DataFrame, stats_b: DataFrame, c
         gone = F.coalesce("described", F.lit(False)) & F.col("present").isNull()
     else:
         gone = F.lit(False)
-    covered = stats_a.select("pair_id", "table").union(stats_b.select("pair_id", "table")).distinct().withColumn("covered", F.lit(True))
-    joined = joined.join(covered, ["pair_id", "table"], "left")
-    failure = (
-        F.when(F.col("table").isNull() | F.col("column").isNull(), "table_not_found")
-        .when(gone, "column_no_longer_exists")
-        .when(F.col("old").isNull() | F.col("new").isNull(), F.when(F.col("covered"), "column_not_found").otherwise("table_not_found"))
+
+    def lack(stats: str, side: str, table: str) -> Column:
+        return F.when(
+            F.col(stats).isNull(),
+            F.when(F.col(f"any_{side}").isNull(), "runtime_evidence_missing")
+            .when(F.col(f"told_{side}").isNull(), "tables_section_missing")
+            .when(~F.array_contains(f"told_{side}", F.col(table)), "table_not_found")
+            .otherwise("column_not_found"),
+        )
+
+    no_table = F.col("table").isNull() | F.col("old_table").isNull()
+    no_column = F.col("column").isNull() | F.col("old_column").isNull()
+    failure = F.coalesce(
+        F.when(no_table, "table_not_found").when(no_column, "column_not_found").when(gone, "column_no_longer_exists"),
+        lack("old", "a", "old_table"),
+        lack("new", "b", "table"),
     )
     available = failure.isNull()
-    attempted = F.when(available, F.lit(None)).when(gone, F.array(F.lit("schema_evidence"))).otherwise(F.array(F.lit("tables"), F.lit("outputs")))
+    looked = F.col("any_a").isNotNull() | F.col("any_b").isNotNull() | no_table | no_column
+    attempted = (
+        F.when(available, F.lit(None))
+        .when(failure == "column_no_longer_exists", F.array(F.lit("schema_evidence")))
+        .when(looked, F.array(F.lit("tables"), F.lit("outputs")))
+        .otherwise(F.array().cast("array<string>"))
+    )
     return joined.select(
         "pair_id",
         "var_id",
@@ -137,4 +175,6 @@ def value_evidence(changed: DataFrame, stats_a: DataFrame, stats_b: DataFrame, c
         F.when(available, summary(F.col("old"), F.col("new"))).alias("summary"),
         failure.alias("failure_reason"),
         attempted.alias("attempted"),
+        F.when(available, F.col("old")).alias("old"),
+        F.when(available, F.col("new")).alias("new"),
     )

@@ -155,10 +155,20 @@ def promoted_registry(files: DataFrame) -> DataFrame:
     return each.select("bundle", "t.transform_id", "t.kind", F.coalesce("t.version", F.lit("0.1")).alias("version"), "t.spec")
 
 
+def table_facts(files: DataFrame) -> DataFrame:
+    """What runs and plans say of tables: bundle, id, row_count, columns (of the last step that tells), sorted_by (JSON)."""
+    told = S.artifact(files, S.EVIDENCE, S.EVIDENCE_DDL).select("bundle", F.posexplode("a.step_evidence").alias("at", "e"))
+    rows = told.select("bundle", "at", F.explode("e.row_counts").alias("id", "n")).groupBy("bundle", "id").agg(F.max_by("n", "at").alias("row_count"))
+    columns = told.select("bundle", "at", F.explode("e.columns").alias("id", "c")).groupBy("bundle", "id").agg(F.max_by("c", "at").alias("columns"))
+    plan = S.artifact(files, S.PLAN, S.PLAN_DDL).select("bundle", F.explode(F.from_json("a.table_facts", "MAP<STRING, STRING>")).alias("id", "fact"))
+    order = plan.select("bundle", "id", F.get_json_object("fact", "$.sorted_by").alias("sorted_by")).filter("sorted_by IS NOT NULL")
+    return rows.join(columns, ["bundle", "id"], "full_outer").join(order, ["bundle", "id"], "full_outer")
+
+
 def legacy_graph_nodes(files: DataFrame) -> DataFrame:
-    """Nodes of the older graph form: steps, and tables and artifacts once each, with merged evidence.
+    """Nodes of the older graph form: steps, and tables and artifacts once each, with merged evidence and facts.
 
-    bundle, id, kind (step, table, artifact), sha256.
+    bundle, id, kind (step, table, artifact), sha256, row_count, columns, sorted_by.
     """
     steps = S.plan_steps(files).select("bundle", F.col("step_id").alias("id"), F.lit("step").alias("kind"), F.lit(None).cast("string").alias("sha256"))
     tables = S.plan_steps(files).select("bundle", F.explode(F.concat("inputs", "outputs")).alias("id")).distinct()
@@ -166,7 +176,8 @@ def legacy_graph_nodes(files: DataFrame) -> DataFrame:
     best = listed.groupBy("bundle", "id").agg(F.min_by("sha256", F.when(F.col("section") == "artifacts", 1).otherwise(0)).alias("sha256"))
     as_tables = tables.join(best, ["bundle", "id"], "left").select("bundle", "id", F.lit("table").alias("kind"), "sha256")
     rest = best.join(tables, ["bundle", "id"], "left_anti").select("bundle", "id", F.lit("artifact").alias("kind"), "sha256")
-    return steps.unionByName(as_tables).unionByName(rest)
+    facts = table_facts(files).withColumn("kind", F.lit("table"))
+    return steps.unionByName(as_tables).unionByName(rest).join(facts, ["bundle", "id", "kind"], "left")
 
 
 def legacy_graph_edges(files: DataFrame) -> DataFrame:

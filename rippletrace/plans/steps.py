@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippletrace.functions.render import _first, _names, pairs, sort_keys
+from rippletrace.functions.render import _first, _names, assigned, branches, call_name, dropped, family, grouping, pairs, sort_keys
 
 BINARY = {
     "+": lambda a, b: a + b,
@@ -31,25 +31,28 @@ def column(node: Any) -> Column:
     """An expression tree as a column."""
     if not isinstance(node, dict):
         return F.lit(node)
-    kind = node.get("type") or node.get("kind")
-    if kind in ("lit", "literal"):
+    kind = family(node)
+    if kind == "literal":
         return F.lit(node.get("value"))
-    if kind in ("col", "column"):
-        return F.col(node.get("name") or node.get("col") or node.get("column"))
+    if kind == "column":
+        return F.col(_first(node, "name", "id", "value"))
     if kind == "call":
-        return F.call_function(node.get("name") or node.get("func"), *(column(a) for a in node.get("args") or []))
+        return F.call_function(call_name(node), *(column(a) for a in node.get("args") or []))
     if kind == "if":
-        return F.when(column(node.get("cond") or node.get("condition")), column(node.get("then"))).otherwise(column(node.get("else")))
-    if kind in ("binop", "binary"):
-        return BINARY[node["op"]](column(node["left"]), column(node["right"]))
+        condition, then, other = (*branches(node), None, None, None)[:3]
+        return F.when(column(condition), column(then)).otherwise(column(other))
+    if kind == "binary":
+        return BINARY[_first(node, "op", "operator")](column(node["left"]), column(node["right"]))
+    if kind == "lookup":
+        base = _first(node, "name", "base", "map")
+        return (F.col(base) if isinstance(base, str) else column(base))[column(_first(node, "key", "index"))]
     raise ValueError(f"no execution for expressions of type {kind}")
 
 
 def run(df: DataFrame, op: str, params: dict[str, Any]) -> DataFrame:
     """Apply one step."""
     if op == "compute":
-        items = _first(params, "assignments", "assign") or []
-        return df.withColumns({_first(i, "target", "col", "column"): column(i.get("expr")) for i in items})
+        return df.withColumns({name: column(expr) for name, expr in assigned(params)})
     if op == "filter":
         return df.filter(column(params["predicate"]))
     if op == "rename":
@@ -58,9 +61,9 @@ def run(df: DataFrame, op: str, params: dict[str, Any]) -> DataFrame:
         keep = _first(params, "cols", "keep")
         return df.select(*_names(keep)) if keep else df.drop(*_names(params.get("drop")))
     if op == "drop":
-        return df.drop(*_names(_first(params, "drop", "columns", "cols")))
+        return df.drop(*dropped(params))
     if op == "sort":
-        keys = [F.col(c).asc() if up else F.col(c).desc() for c, up in sort_keys(params)]
+        keys = [F.col(c).desc() if way == "desc" else F.col(c).asc() for c, way in sort_keys(params)]
         if params.get("nodupkey"):
             # the first row of each key by input order; ties by all columns where there is none
             by = [c for c, _ in sort_keys(params)]
@@ -69,9 +72,7 @@ def run(df: DataFrame, op: str, params: dict[str, Any]) -> DataFrame:
             df = df.withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_first")
         return df.orderBy(*keys)
     if op == "aggregate":
-        by = _names(_first(params, "class", "class_cols", "group_by"))
-        what = _names(_first(params, "var", "vars"))
-        stats = _names(_first(params, "stats", "statistics"))
+        by, what, stats = (_names(x) for x in grouping(params).values())
         return df.groupBy(*by).agg(*(STATISTICS[s](v).alias(f"{v}_{s}") for v in what for s in stats))
     if op == "datasource":
         spark = df.sparkSession

@@ -72,19 +72,21 @@ def versioned(docs: DataFrame, artifact: str, unknown_fields: str = "preserve")
 
     Without a version a document counts as the legacy one, with a warning; any other
     version but the current one is an error; the result always reports the current one.
-    Unknown fields are kept in ``extra`` or fail the query, as asked.
+    Unknown fields are kept in ``extra`` with a warning, or fail the query, as asked.
     """
     version = F.get_json_object("text", "$.schema_version")
     known = F.array(*(F.lit(k) for k in (*KNOWN_FIELDS[artifact], "schema_version")))
     extra = F.array_sort(F.array_except(F.json_object_keys("text"), known))
     wrong = version.isNotNull() & ~version.isin(LEGACY_VERSION, CURRENT_VERSION)
-    refused = (F.size(extra) > 0) & (F.lit(unknown_fields == "reject") | (version == CURRENT_VERSION))
+    refused = (F.size(extra) > 0) & F.lit(unknown_fields == "reject")
     checked = (
         F.when(wrong, F.raise_error(F.concat(F.lit("unsupported schema_version "), version)))
         .when(refused, F.raise_error(F.concat(F.lit("unknown fields: "), F.array_join(extra, ", "))))
         .otherwise(F.lit(CURRENT_VERSION))
     )
-    warnings = F.when(version.isNull(), F.array(F.lit("no schema_version: read as legacy"))).otherwise(F.array().cast("array<string>"))
+    legacy = F.when(version.isNull(), F.lit("no schema_version: read as legacy"))
+    kept = F.when(F.size(extra) > 0, F.concat(F.lit("unknown fields kept: "), F.array_join(extra, ", ")))
+    warnings = F.array_compact(F.array(legacy, kept))
     return docs.select("pair_id", "text", checked.alias("schema_version"), warnings.alias("warnings"), extra.alias("extra"))
 
 

@@ -20,6 +20,7 @@ EVIDENCE, SCHEMA_EVIDENCE, SCHEMA_LOCK, VARIABLES = (
     "schema.lock.json",
     "artifacts/vars.graph.json",
 )
+OWN_REGISTRIES = ("transform_registry.json", "artifacts/transform_registry.json")
 REPORT_VERSIONS = ("0.2", "0.3")
 
 ENTRY = "STRUCT<role: STRING, name: STRING, path: STRING, sha256: STRING>"
@@ -46,15 +47,18 @@ EVIDENCE_DDL = (
     "run_id STRING, created_at STRING, plan_ir STRUCT<path: STRING, sha256: STRING>, "
     "inputs ARRAY<STRUCT<name: STRING, path: STRING, bytes_sha256: STRING, canonical_sha256: STRING>>, "
     "outputs ARRAY<STRUCT<name: STRING, path: STRING, bytes_sha256: STRING, canonical_sha256: STRING, column_stats: MAP<STRING, STRING>>>, "
-    "tables MAP<STRING, STRUCT<columns: MAP<STRING, STRING>>>, column_stats MAP<STRING, MAP<STRING, STRING>>"
+    "tables MAP<STRING, STRUCT<columns: MAP<STRING, STRING>>>, column_stats MAP<STRING, MAP<STRING, STRING>>, "
+    "step_evidence ARRAY<STRUCT<row_counts: MAP<STRING, LONG>, columns: MAP<STRING, ARRAY<STRING>>>>"
 )
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
     """All files of all bundles below ``root``: bundle, path, content, sha256 (canonical for .json)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("/")[-1]
-    inner = F.regexp_extract("path", rf"/{base}/(.*)$", 1)
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(root)
+    whole = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    inner = F.substr("path", F.lit(len(whole) + 2))  # every path starts with the qualified root
     parted = found.select(
         F.regexp_extract(inner, "^([^/]+)/", 1).alias("bundle"), F.regexp_extract(inner, "^[^/]+/(.*)$", 1).alias("path"), "content"
     )

@@ -14,11 +14,12 @@ from .test_diff import SPEC, changed, registry
 
 
 def test_versioned_artifacts(spark):
-    docs = A.documents(spark, {"old": {"table": "t", "bindings": {}, "more": 1}, "new": {"schema_version": "0.7", "table": "t", "bindings": {}}})
+    docs = A.documents(spark, {"old": {"table": "t", "bindings": {}, "more": 1}, "new": {"schema_version": "0.7", "table": "t", "bindings": {}}, "kept": {"schema_version": "0.7", "table": "t", "bindings": {}, "x": 1}})
     got = {r["pair_id"]: r for r in A.versioned(docs, "bindings").collect()}
-    assert got["old"]["schema_version"] == "0.7" and got["old"]["extra"] == ["more"] and len(got["old"]["warnings"]) == 1
+    assert got["old"]["schema_version"] == "0.7" and got["old"]["extra"] == ["more"] and len(got["old"]["warnings"]) == 2
+    assert got["kept"]["extra"] == ["x"] and got["kept"]["warnings"] == ["unknown fields kept: x"]
     assert got["new"]["warnings"] == []
-    for text, how in (({"schema_version": "0.5"}, "preserve"), ({"schema_version": "0.7", "x": 1}, "preserve"), ({"x": 1}, "reject")):
+    for text, how in (({"schema_version": "0.5"}, "preserve"), ({"schema_version": "0.7", "x": 1}, "reject"), ({"x": 1}, "reject")):
         with pytest.raises(PySparkException):
             A.versioned(A.documents(spark, {"p": text}), "bindings", how).collect()
 

@@ -29,10 +29,10 @@ def bundle(root: Path, name: str, literal: str = "HIGH", tamper=None, expr="e1")
     }
     stat = {"unique_count": 1, "null_count": 0, "row_count": 3, "top_values": [{"value": literal, "count": 3}]}
     parts = {
-        "artifacts/plan.ir.json": {"steps": steps, "tables": []},
-        "artifacts/registry.candidate.json": {"registry_version": "1", "transforms": [{"transform_id": t, "kind": "op", "version": "0.1", "spec": s} for t, s in zip(tids, specs, strict=True)], "index": {"0": tids[0], "1": tids[1]}},
+        "artifacts/plan.ir.json": {"steps": steps, "tables": [], "table_facts": {"mid": {"sorted_by": ["id"]}}},
+        "artifacts/registry.candidate.json": {"registry_version": "1", "transforms": [{"transform_id": t, "kind": s["op"], "version": "0.1", "spec": s} for t, s in zip(tids, specs, strict=True)], "index": {"0": tids[0], "1": tids[1]}},
         "artifacts/graph.json": graph,
-        "artifacts/runtime.evidence.json": {"run_id": f"run-{name}", "created_at": "2026-01-01", "tables": {"out": {"columns": {"label": stat}}}},
+        "artifacts/runtime.evidence.json": {"run_id": f"run-{name}", "created_at": "2026-01-01", "step_evidence": [{"row_counts": {"mid": 5, "out": 2}}, {"row_counts": {"out": 3}, "columns": {"out": ["label", "id"]}}], "tables": {"out": {"columns": {"label": stat}}}},
         "artifacts/schema.evidence.json": {"tables": {"out": {"label": "string", "id": "int"}}},
         "artifacts/vars.graph.json": {
             "nodes": [{"id": "v:raw.id", "origin": "source", "payload_sha256": "p0"}, {"id": "v:out.label", "origin": "derived", "expr_sha256": expr, "payload_sha256": "p", "producing_step_id": steps[1]["step_id"], "transform_id": tids[1]}, {"id": "v:out.copy", "origin": "derived", "payload_sha256": "q", "producing_step_id": "z", "transform_id": "zz"}],
@@ -101,6 +101,8 @@ def test_sound_and_tampered_bundles(spark, tmp_path):
     assert [r["bundle"] for r in out["runs"].collect()] == ["good"] and out["registry"].count() == 2 and out["graphs"].count() == 1
     files = S.files(spark, str(root)).filter("bundle = 'good'")
     assert {r["kind"] for r in legacy_graph_nodes(files).collect()} == {"step", "table", "artifact"} and legacy_graph_edges(files).count() == 4
+    facts = {r["id"]: (r["row_count"], r["columns"], r["sorted_by"]) for r in legacy_graph_nodes(files).filter("kind = 'table'").collect()}
+    assert facts == {"raw": (None, None, None), "mid": (5, None, '["id"]'), "out": (3, ["label", "id"], None)}
 
 
 def test_fingerprint_ignores_provenance(spark, tmp_path):
@@ -157,6 +159,71 @@ def test_rendering():
     assert render.expression(op("*", op("+", col("a"), lit(1)), lit("x"))) == '(a + 1) * "x"'
     assert render.expression(op("-", col("a"), op("-", col("b"), lit(2.5)))) == "a - (b - 2.5)"
     assert render.expression({"type": "odd"}) == "<expr:odd>"
-    assert render.step("sort", {"by": [{"col": "a", "desc": True}, "b"], "nodupkey": True}) == "sort by a desc, b nodupkey"
-    assert render.step("rename", {"mappings": [{"from": "a", "to": "b"}]}) == "rename a -> b" and render.step("save", {}) is None
+    assert render.expression(None) == "<expr:null>" and render.expression({}) == "<expr>"
+    assert render.expression({"kind": "func", "fn": "up", "args": [{"type": "ident", "id": "a"}, 2.0]}) == "up(a, 2.0)"
+    assert render.expression({"type": "if", "args": [op("==", col("a"), lit(None)), lit(True), None]}) == "if(a == null, true, <expr:null>)"
+    assert render.expression({"type": "binary", "operator": "or", "left": col("a"), "right": op("or", col("b"), col("c"))}) == "a or (b or c)"
+    assert render.expression({"type": "map_lookup", "name": "m", "key": lit("k")}) == 'm["k"]'
+    assert render.expression({"type": "index", "base": op("+", col("a"), col("b")), "index": col("i")}) == "(a + b)[i]"
+    assert render.expression({"type": "callable", "op": "f", "args": [col("x")]}) == "f(x)"
+    two = {"assignments": [{"target": "z", "expr": lit(1)}, {"col": "a", "expr": col("q")}], "mode": "update"}
+    assert render.step("compute", two) == "compute a = q, z = 1 (update!)"
+    assert render.step("compute", {}) == "(incomplete spec: assignments)" and render.step("aggregate", {"var": ["v"]}) == "(incomplete spec: class, stats)"
+    assert render.step("aggregate", {"class": ["g"], "var": ["v"], "stats": ["mean"]}) == "aggregate class(g) var(v) stats(mean)"
+    assert render.step("sort", {"by": [{"col": "a", "desc": True}, "b"], "nodupkey": True}) == "sort by a desc, b nodupkey(true)"
+    assert render.step("rename", {"mappings": [{"from": "a", "to": "b"}]}) == "rename(a -> b)" and render.step("save", {}) == "(unrenderable op: save)"
+    assert render.step("select", {"drop": ["a"]}) == "select drop(a)" and render.step("drop", {"columns": ["a", "b"]}) == "drop(a, b)"
+    assert render.target("x", True, "compute", json.dumps({"op": "compute", "params": two}), "b") == "(no assignment for target=b)"
+    assert render.target("x", False, None, None, "b") == "(transform not found: x)"
     assert [render.formatted(v) for v in (None, True, 3, 1.50, 2.0)] == ["null", "true", "3", "1.5", "2"]
+
+
+def test_own_registry_and_locks(spark, tmp_path):
+    """A bundle's registry file decides what implementations are; locks of either shape tell contract from provenance."""
+
+    def edit(digest, lock, skip=()):
+        def run(stage, value, d):
+            if stage == "files":
+                used = json.loads((d / "artifacts/plan.ir.json").read_text())["steps"]
+                named = [*(s["transform_id"] for s in used), "zz", "pass_through"]
+                entries = [{"id": f"t:{t}", "version": "1", "kind": "k", "impl_fingerprint": {"algo": "sha256", "source": "s", "ref": t, "digest": digest}} for t in named if t not in skip]
+                (d / "transform_registry.json").write_text(json.dumps({"registry_version": "1", "transforms": entries}))
+                (d / "schema.lock.json").write_text(json.dumps(lock))
+
+        return run
+
+    listed = lambda by, kind: {"created_by": by, "datasources": [{"name": "lb", "kind": "csv", "columns": [{"name": "id", "type": kind}], "rules": {"b": 1, "a": 2}}]}
+    mapped = {"created_by": "z", "datasources": {"lb": {"rules": {"a": 2, "b": 1}, "columns": {"id": "int"}, "kind": "csv"}}}
+    locks = {"impl": (listed("x", "int"), listed("y", "int")), "lack": (listed("x", "int"), listed("x", "text")), "shape": (listed("x", "int"), mapped)}
+    for name, (one, two) in locks.items():
+        bundle(tmp_path / "bundles+" / "bundles", name, tamper=edit("a" * 64, one))
+        bundle(tmp_path / "b", name, tamper=edit("b" * 64 if name == "impl" else "a" * 64, two, ("zz",) if name == "lack" else ()))
+    a, b = S.files(spark, str(tmp_path / "bundles+" / "bundles")), S.files(spark, str(tmp_path / "b"))
+    pairs = lambda f: f.select("bundle").distinct().selectExpr("bundle", "bundle AS pair_id")
+    out = RD.run_diff(a, b, pairs(a), pairs(b))
+    events = {(r["pair_id"], r["change_type"]) for r in out["events"].collect()}
+    assert events == {("impl", "TRANSFORM_IMPL_CHANGED"), ("lack", "TRANSFORM_REMOVED")}
+    assert {(r["pair_id"], r["version"], r["element_id"]) for r in out["missing_transforms"].collect()} == {("lack", 2, "v:out.copy")}
+    changed = {r["pair_id"]: (r["contract_changed"], r["provenance_changed"]) for r in out["schema_lock_hashes"].collect()}
+    assert changed == {"impl": (False, True), "lack": (True, True), "shape": (False, True)}
+
+
+def test_evidence_by_side(spark):
+    from rippletrace.operators.evidence import STATS, value_evidence
+
+    stat = "named_struct('unique_count', 1L, 'null_count', 0L, 'row_count', 1L, 'min', '{0}', 'max', '{0}', 'constant_value', null, 'top_values', array('{0}'), 'top_counts', array(1L))"
+    rows = lambda v, t: spark.sql(f"SELECT 'p' AS pair_id, '{t}' AS `table`, 'c' AS `column`, CAST({stat.format(v)} AS {STATS}) AS stats")
+    ddl = "pair_id string, var_id string, old_table string, old_column string, `table` string, `column` string"
+    changed = [("p", "moved", "t1", "c", "t2", "c"), ("p", "gone", "t9", "c", "t2", "c"), ("p", "part", "t1", "x", "t2", "c"), ("q", "none", "t1", "c", "t2", "c"), ("r", "bare", "t1", "c", "t2", "c"), ("p", "lost", None, None, "t2", "c")]
+    told = lambda t: spark.createDataFrame([("p", [t]), ("r", None)], "pair_id string, tables array<string>")
+    out = value_evidence(spark.createDataFrame(changed, ddl), rows("A", "t1"), rows("B", "t2"), None, told("t1"), told("t2"))
+    got = {r["var_id"]: (r["summary"], r["failure_reason"], r["attempted"], r["old"] and r["old"]["min"]) for r in out.collect()}
+    both = ["tables", "outputs"]
+    assert got == {
+        "moved": ('"A" -> "B"', None, None, "A"),
+        "gone": (None, "table_not_found", both, None),
+        "part": (None, "column_not_found", both, None),
+        "none": (None, "runtime_evidence_missing", [], None),
+        "bare": (None, "tables_section_missing", both, None),
+        "lost": (None, "table_not_found", both, None),
+    }
