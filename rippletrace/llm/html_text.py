@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippletrace.llm.common import session
+from rippletrace.llm.common import chunked, session
 
 # Element names of the HTML standard by the role they have here.
 RAW = {"script", "style", "textarea", "title", "noscript", "xmp", "iframe", "noembed", "noframes", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 DROP = {
     "nav", "header", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "svg", "canvas",
-    "object", "audio", "video", "figure", "head", "label", "fieldset", "input", "math", "map",
+    "object", "audio", "video", "figure", "head", "fieldset", "input", "map",
 }
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl", "dt",
@@ -47,42 +47,62 @@ CLOSED_BY_SAME = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-# Words in class, id and role that mark an element as not the article.
+# Words in class, id and role that mark an element as not the article, also as part of a longer name ...
 BAD_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|notice\w*|gdpr|popup|modal|"
-    r"overlay|newsletter|subscri\w*|signup|sidebar\w*|side|rail|widget\w*|related|recommend\w*|teaser\w*|share|sharing|"
-    r"social|nav\w*|menu\w*|breadcrumb\w*|pager|pagination|header|masthead|topbar|footer|foot|copyright|legal|"
-    r"comment\w*|disqus|respond|replies|reply|reactions|discussion|form|search|login|hidden|toolbar|skip|meta|byline|"
-    r"tags|disclaimer|alert|warning|paywall|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|popup|modal|"
+    r"newsletter|subscri\w*|signup|sidebar\w*|widget\w*|related|recommend\w*|sharing|"
+    r"social|nav\w*|menu\w*|breadcrumb\w*|pager|pagination|header|masthead|topbar|footer|"
+    r"comment\w*|disqus|login|toolbar|paywall|contentinfo|navigation|(?:post|entry|article)[_-]meta)(?:$|[\s_-])",
     re.I,
 )
+# ... and words of many meanings, which only count as the whole name of a container that has no good name.
+VAGUE_WORDS = re.compile(
+    r"(?:^|\s)(?:notice\w*|overlay|side|rail|teaser\w*|share|foot|copyright|legal|respond|replies|reply|reactions|discussion|"
+    r"form|search|hidden|skip|meta|byline|tags|disclaimer|alert|warning|complementary|dialog)(?:$|\s)",
+    re.I,
+)
+CONTAINER = {"div", "section", "ul", "ol", "dl", "table", "center", "details", "search"}
 GOOD_WORDS = re.compile(
     r"(?:^|[\s_-])(?:article\w*|body|content\w*|entry|hentry|main|page|post\w*|text|story|blog)(?:$|[\s_-])", re.I
 )
+# a quote opens a value only after an equals sign; possessive, so that nothing is ever read twice
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)",
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+(?:>|$)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+(?:\"|$)|=\s*+'[^']*+(?:'|$)|=)*+)(?:>|$)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
 SPACE = re.compile(r"\s+")
 #: Kinds of bad elements: by a name or as a form, which can be pardoned, and by tag or hidden.
 SOFT, HARD = 1, 2
+CHUNK = 4 << 20
 #: Less than this share of a page's points is little; so many points can be a page's text without a main heading.
 LITTLE, ENOUGH = 0.1, 5.0
 
 
 class Node:
-    """An element: its parent, the words of its class, id and role, and running sums over its subtree."""
+    """An element, what its place in the tree says (kept at its making, so that no text walks up), and sums over its subtree."""
 
-    __slots__ = ("bad", "children", "chars", "link", "names", "number", "parent", "points", "tag")
+    __slots__ = (
+        "bad", "chars", "children", "depth", "heading", "lead", "link", "linked", "lost", "names", "number", "own", "owner", "parent",
+        "points", "story", "suspect", "tag", "worst",
+    )
 
     def __init__(self, tag: str, names: str, parent: Node | None, bad: int, number: int = 0) -> None:
         self.tag, self.names, self.parent, self.bad, self.number = tag, names, parent, bad, number
         self.children: list[Node] = []
-        self.points = 0.0
-        self.chars = 0
-        self.link = 0
+        self.own = self.points = 0.0
+        self.chars = self.link = 0
+        block = tag in BLOCK or parent is None
+        self.depth: int = 0 if parent is None else parent.depth + 1
+        self.owner: Node = self if block else parent.owner  # the nearest block
+        self.worst: int = max(bad, parent.worst) if parent else bad
+        self.suspect: Node | None = self if bad else parent.suspect if parent else None  # the nearest bad element
+        self.lost: bool = bool(parent and parent.lost) or bool(bad and not block)  # inside a bad inline element
+        self.linked: bool = tag == "a" or bool(parent and parent.linked)
+        self.heading: bool = tag in HEADING or bool(parent and parent.heading)
+        self.story: bool = tag in {"article", "main"} or bool(parent and parent.story)
+        self.lead: int = self.depth if tag in {"h1", "main"} else parent.lead if parent else -1  # depth of the main heading
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -103,13 +123,14 @@ class Doubt:
         self.points: dict[int, float] = {}
         self.headed: set[int] = set()
 
-    def add(self, stack: list[Node], points: float) -> None:
+    def add(self, top: Node, points: float) -> None:
         self.total += points
-        for i, e in enumerate(stack):
-            if e.bad:
-                self.points[e.number] = self.points.get(e.number, 0.0) + points
-                if any(x.tag in {"h1", "main"} for x in stack[i:]):
-                    self.headed.add(e.number)
+        e = top.suspect
+        while e is not None:
+            self.points[e.number] = self.points.get(e.number, 0.0) + points
+            if top.lead >= e.depth:
+                self.headed.add(e.number)
+            e = e.parent.suspect if e.parent else None
 
     def pardoned(self, clean: float) -> set[int]:
         """Numbers of the elements to take back next, outermost first, given the points of what is left without any."""
@@ -126,11 +147,12 @@ class Doubt:
         return set(self.points) if little and whole >= ENOUGH else set()
 
 
-def parsed(page: str, pardoned: set[int] | frozenset[int] = frozenset()) -> tuple[Node, list[tuple[Node, str, int, bool]], Doubt]:
-    """The tree, its text blocks in page order: (block element, text, characters in links, heading), and what soft elements took."""
+def parsed(page: str, pardoned: set[int] | frozenset[int] = frozenset()) -> tuple[list[Node], list[tuple[Node, str, int, bool]], Doubt]:
+    """The elements in page order, the text blocks in page order: (block element, text, characters in links, heading), and what soft elements took."""
     root = Node("#root", "", None, 0)
     doubt, number = Doubt(), 0
-    stack = [root]
+    stack, nodes = [root], [root]
+    opened: dict[str, int] = {}  # open elements by tag: what is not open is not looked for
     blocks: list[tuple[Node, str, int, bool]] = []
     held: list[str] = []
     linked: list[str] = []
@@ -140,41 +162,43 @@ def parsed(page: str, pardoned: set[int] | frozenset[int] = frozenset()) -> tupl
         if held:
             text = SPACE.sub(" ", "".join(held)).strip()
             if text:
-                owner = next((e for e in reversed(stack) if e.tag in BLOCK or e is root), root)
+                top = stack[-1]
                 links = len(SPACE.sub(" ", "".join(linked)).strip())
-                bad = max(e.bad for e in stack)
-                heading = any(e.tag in HEADING for e in stack)
-                if not bad:
-                    blocks.append((owner, text, links, heading))
-                elif bad == SOFT:
-                    doubt.add(stack, weight(text, links, heading))
+                if not top.worst:
+                    blocks.append((top.owner, text, links, top.heading))
+                elif top.worst == SOFT:
+                    doubt.add(top, weight(text, links, top.heading))
             held.clear()
             linked.clear()
 
     def text_of(part: str) -> None:
         part = html.unescape(part) if "&" in part else part
-        if any(e.bad for e in stack if e.tag not in BLOCK):
+        top = stack[-1]
+        if top.lost:
             lost = SPACE.sub(" ", part).strip()
-            if lost and max(e.bad for e in stack) == SOFT:
-                links = len(lost) if any(e.tag == "a" for e in stack) else 0
-                doubt.add(stack, weight(lost, links, any(e.tag in HEADING for e in stack)))
+            if lost and top.worst == SOFT:
+                doubt.add(top, weight(lost, len(lost) if top.linked else 0, top.heading))
             return
         held.append(part)
-        if any(e.tag == "a" for e in stack):
+        if top.linked:
             linked.append(part)
 
     def close_to(index: int) -> None:
-        if any(e.tag in BLOCK for e in stack[index:]):
+        if stack[-1].owner.depth >= index:
             flush()
+        for e in stack[index:]:
+            opened[e.tag] -= 1
         del stack[index:]
 
     def close_open(tags: set[str], fence: set[str]) -> None:
+        if not any(opened.get(t) for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in fence:
                 return
             if stack[i].tag in tags:
                 close_to(i)
-                if not tags & {e.tag for e in stack}:
+                if not any(opened.get(t) for t in tags):
                     return
 
     while at < n:
@@ -191,11 +215,11 @@ def parsed(page: str, pardoned: set[int] | frozenset[int] = frozenset()) -> tupl
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(e.tag == "p" for e in stack):
+            if tag == "p" and not opened.get("p"):
                 flush()
             elif tag == "br":
                 held.append(" ")
-            else:
+            elif opened.get(tag):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         close_to(i)
@@ -239,8 +263,9 @@ def parsed(page: str, pardoned: set[int] | frozenset[int] = frozenset()) -> tupl
                 or a.get("aria-hidden", "").lower() == "true"
                 or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
             )
-            named = bool(tag not in {"html", "body", "article", "main"} and BAD_WORDS.search(names))
-        if tag == "header" and any(e.tag in {"article", "main"} for e in stack):
+            vague = tag in CONTAINER and VAGUE_WORDS.search(names) and not GOOD_WORDS.search(names)
+            named = bool(tag not in {"html", "body", "article", "main"} and (vague or BAD_WORDS.search(names)))
+        if tag == "header" and stack[-1].story:
             bad = False  # an article's own heading
         if tag == "figure" and not named:
             bad = False
@@ -248,37 +273,38 @@ def parsed(page: str, pardoned: set[int] | frozenset[int] = frozenset()) -> tupl
         soft = (named or tag == "form") and number not in pardoned
         node = Node(tag, names, stack[-1], HARD if bad else SOFT if soft else 0, number)
         stack[-1].children.append(node)
+        nodes.append(node)
         if not raw.rstrip().endswith("/") or tag in BLOCK or tag == "a":
             stack.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
-    return root, blocks, doubt
+    return nodes, blocks, doubt
 
 
 def extract(page: str | None) -> str:
     """Main text of one page; empty for null, empty or text-free pages."""
     if not page:
         return ""
-    root, blocks, doubt = parsed(page)
+    nodes, blocks, doubt = parsed(page)
     back: set[int] = set()
     while doubt.points:
         more = doubt.pardoned(sum(weight(text, links, heading) for _, text, links, heading in blocks))
         if not more:
             break
         back |= more
-        root, blocks, doubt = parsed(page, back)
+        nodes, blocks, doubt = parsed(page, back)
     if not blocks:
         return ""
+    root = nodes[0]
     for owner, text, links, heading in blocks:
-        points = weight(text, links, heading)
-        node, share = owner.parent or owner, 1.0
-        while node is not None:
-            node.points += points * share
-            node, share = node.parent, share / 2
-        node = owner
-        while node is not None:
-            node.chars += len(text)
-            node.link += links
-            node = node.parent
+        owner.own += weight(text, links, heading)
+        owner.chars += len(text)
+        owner.link += links
+    for node in reversed(nodes[1:]):  # children before parents
+        node.parent.points += node.own + node.points / 2
+        node.parent.chars += node.chars
+        node.parent.link += node.link
+    root.points += root.own
 
     def score(node: Node) -> float:
         s = node.points * (1 - min(1.0, node.link / node.chars)) if node.chars else 0.0
@@ -304,15 +330,17 @@ def extract(page: str | None) -> str:
                 kept.add(id(sibling))
     if best.tag == "p" and best.parent is not None:
         kept.add(id(best.parent))
+    inside: dict[int, bool] = {}
+    for node in nodes:  # parents before children
+        inside[id(node)] = id(node) in kept or (node.parent is not None and inside[id(node.parent)])
     out = []
     for owner, text, links, heading in blocks:
-        node = owner
-        while node is not None and id(node) not in kept:
-            node = node.parent
-        if node is None:
-            continue
-        if links > 0.8 * len(text) and not heading and owner.tag in {"li", "div", "ul", "td", "section"}:
+        if not inside[id(owner)]:
             continue
+        if links > 0.8 * len(text) and not heading:
+            around = owner.parent if owner.tag in {"li", "td"} and owner.parent is not None else owner
+            if owner.tag in {"li", "div", "ul", "td", "section"} and around.link > 0.8 * around.chars:
+                continue
         out.append(text)
     return "\n\n".join(out)
 
@@ -325,7 +353,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunked(batches, "html", CHUNK):
             found = [extract(p) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())],

@@ -1,6 +1,7 @@
 """Language ID, language-model scores, extraction."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -177,6 +178,41 @@ def test_bad_names_still_drop_what_is_beside_the_article():
     assert html_text.extract(f"<nav>{ARTICLE}</nav><div hidden>{ARTICLE}</div>") == ""
 
 
+LONG = "A sentence of the article, with commas, goes on for a while and says what it has to say. " * 3
+
+
+@pytest.mark.parametrize(
+    "inner,want",
+    [
+        (f"<p>It is <a href=x title=it's>there</a> now. {LONG}</p><p>Second, {LONG}</p>", ["It is there now.", "Second,"]),
+        (f"<p>{LONG}</p><p class='side-effects'>Of side effects, {LONG}</p>", ["Of side effects,"]),
+        (f"<p>{LONG}</p><div class='legal text'><p>Of legal texts, {LONG}</p></div>", ["Of legal texts,"]),
+        (f"<p>{LONG}</p><p class=search>Of searching, {LONG}</p><div class=meta-analysis><p>Of analyses, {LONG}</p></div>", ["Of searching,", "Of analyses,"]),
+        (f"<p>{LONG}</p><ul><li><a href=y>One linked item</a></li><li>An item that is no link at all, and longer</li></ul>", ["One linked item", "An item that is"]),
+        (f"<p>The value <math><mi>x</mi><mo>=</mo><mn>3</mn></math> and <label>a label</label> stay. {LONG}</p>", ["The value x=3 and a label stay."]),
+    ],
+)
+def test_nothing_else_is_dropped(inner, want):
+    got = html_text.extract(f"<html><body><nav><a href=a>Home</a></nav><article><h1>Title</h1>{inner}</article><footer>Foot</footer></body></html>")
+    assert all(w in got for w in want) and got.startswith("Title\n\n") and "Home" not in got and "Foot" not in got
+
+
+def test_menus_and_vague_containers_still_go():
+    menu = "<ul>" + "".join(f"<li><a href=#{i}>Link {i}</a></li>" for i in range(6)) + "</ul>"
+    page = f"<body><main><h1>T</h1><p>{LONG}</p>{menu}<div class=search>Find it here</div><div class='post-meta'>By them</div><p class=ad>Buy</p><p>{LONG}</p></main></body>"
+    got = html_text.extract(page)
+    assert got.count("A sentence of the article") == 6 and not any(x in got for x in ("Link", "Find it", "By them", "Buy"))
+
+
+def test_deep_pages_take_linear_time():
+    began = time.process_time()
+    for n in (20000, 40000):
+        page = "<div>" * n + f"<p>{LONG}</p>" + "</b></div>" * n
+        assert html_text.extract(page) == " ".join(LONG.split())
+        assert html_text.extract("".join(f"<div><p>Part {i}, {LONG}</p>" for i in range(n // 20))).count("Part") > 10
+    assert time.process_time() - began < 30
+
+
 def test_extraction_rows(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
