@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,16 +186,51 @@ def event_log(a: DataFrame, b: DataFrame, pairs: DataFrame | None = None) -> Dat
 
 
 def counts(a: DataFrame, b: DataFrame, edges_a: DataFrame, edges_b: DataFrame) -> DataFrame:
-    """Counters of raw differences and of events: pair_id, counter, n."""
+    """Counters of raw differences and of events: pair_id, counter, n.
+
+    Steps meet in one keyed full outer join, edges in another, and every counter is an
+    expression over a joined row.
+    """
     pairs = stored(class_pairs(a, b), "pairs")
-    nodes = node_changes(a, b, "step").unionByName(node_changes(tables_of(edges_a), tables_of(edges_b), "table"))
-    raw = nodes.select("pair_id", F.concat_ws("_", F.lit("raw"), "kind", "change").alias("counter"))
-    raw = raw.union(changed_steps(a, b).select("pair_id", F.lit("raw_step_changed")))
-    raw = raw.union(rewired_steps(a, b).select("pair_id", F.lit("raw_step_rewired")))
-    raw = raw.union(pairs.select("pair_id", F.concat(F.lit("raw_class_"), "classification")))
-    raw = raw.union(edge_changes(edges_a, edges_b).select("pair_id", F.concat(F.lit("raw_edge_"), "change")))
-    raw = raw.union(event_log(a, b, pairs).select("pair_id", F.concat(F.lit("event_"), "type")))
-    return raw.groupBy("pair_id", "counter").agg(F.count("*").alias("n"))
+    mark = F.lit(True)
+    x = a.withColumn("there", mark).alias("a")
+    y = b.withColumn("here", mark).alias("b")
+    covered = pairs.select("pair_id", "transform_class_id", "op", F.lit(True).alias("covered"))
+    steps = x.join(y, ["pair_id", "id"], "full_outer")
+    gone, come, both = F.col("here").isNull(), F.col("there").isNull(), F.col("here") & F.col("there")
+    other = lambda c: (F.size(F.array_except(F.col(f"a.{c}"), F.col(f"b.{c}"))) > 0) | (F.size(F.array_except(F.col(f"b.{c}"), F.col(f"a.{c}"))) > 0)
+    changed = both & ~reduce(and_, (F.col(f"a.{s}").eqNullSafe(F.col(f"b.{s}")) for s in SIGNS))
+    wired = both & (other("inputs") | other("outputs"))
+    told = lambda of, *names: [F.when(of, F.lit(n)) for n in names]
+    flagged = steps.select(
+        "pair_id",
+        F.coalesce("b.transform_class_id", "a.transform_class_id").alias("transform_class_id"),
+        F.coalesce("b.op", "a.op").alias("op"),
+        *(F.coalesce(c, F.lit(False)).alias(n) for c, n in ((gone, "gone"), (come, "come"), (changed, "changed"), (wired, "wired"))),
+    ).filter("gone OR come OR changed OR wired")
+    free = F.col("covered").isNull()
+    of_steps = flagged.join(covered, ["pair_id", "transform_class_id", "op"], "left").select(
+        "pair_id",
+        F.array(
+            *told(F.col("gone"), "raw_step_removed"),
+            *told(F.col("come"), "raw_step_added"),
+            *told(F.col("changed"), "raw_step_changed", "event_step_payload_changed"),
+            *told(F.col("wired"), "raw_step_rewired", "event_step_rewired"),
+            *told(F.col("gone") & free, "event_step_removed"),
+            *told(F.col("come") & free, "event_step_added"),
+        ).alias("c"),
+    )
+
+    def one_sided(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
+        keys = x.columns
+        joined = x.distinct().withColumn("there", mark).join(y.distinct().withColumn("here", mark), keys, "full_outer").filter("there IS NULL OR here IS NULL")
+        return joined.select("pair_id", F.array(F.when(F.col("here").isNull(), f"raw_{name}_removed").otherwise(f"raw_{name}_added")).alias("c"))
+
+    arcs = ["pair_id", "src", "dst", "kind"]
+    of_pairs = pairs.select("pair_id", F.array(F.concat(F.lit("raw_class_"), "classification"), F.lit("event_step_replaced_same_class")).alias("c"))
+    every = of_steps.unionByName(of_pairs).unionByName(one_sided(edges_a.select(arcs), edges_b.select(arcs), "edge"))
+    every = every.unionByName(one_sided(tables_of(edges_a), tables_of(edges_b), "table"))
+    return every.select("pair_id", F.explode(F.array_compact("c")).alias("counter")).groupBy("pair_id", "counter").agg(F.count("*").alias("n"))
 
 
 def seeds(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -214,22 +251,27 @@ def seeds(a: DataFrame, b: DataFrame) -> DataFrame:
 def downstream(edges_b: DataFrame, start: DataFrame) -> DataFrame:
     """Steps reached downstream of the seeds in graph B: pair_id, id, distance, parent, via, path.
 
-    Breadth first over step -> table -> step; a step's parent is the least (step, table)
-    one level up. Seeds have no parent and are their own path.
+    Breadth first from steps to the tables that they produce and on to the steps that
+    consume those, each half a hop with one row per table or step: a table with many
+    producers and consumers never pairs them. A step's parent is the least (step, table)
+    one level up; a table entered before leads nowhere new. Seeds have no parent and are
+    their own path.
     """
-    hop = (
-        edges_b.filter("kind = 'produces'")
-        .select("pair_id", F.col("src").alias("parent"), F.col("dst").alias("via"))
-        .join(edges_b.filter("kind = 'consumes'").select("pair_id", F.col("src").alias("via"), F.col("dst").alias("id")), ["pair_id", "via"])
-    )
-    hop = stored(hop, "hops")
+    made = stored(edges_b.filter("kind = 'produces'").select("pair_id", F.col("src").alias("id"), F.col("dst").alias("via")), "made")
+    used = stored(edges_b.filter("kind = 'consumes'").select("pair_id", F.col("src").alias("via"), F.col("dst").alias("id")), "used")
     none = F.lit(None).cast("string")
     level = stored(start.select("pair_id", "id", F.lit(0).alias("distance"), none.alias("parent"), none.alias("via"), F.array("id").alias("path")), "level")
     seen, parts = level, [level]
+    entered: DataFrame | None = None
+    tables: list[DataFrame] = []
     for d in count(1):
+        into = made.join(level.select("pair_id", "id", "path"), ["pair_id", "id"])
+        if entered is not None:
+            into = into.join(entered.select("pair_id", "via"), ["pair_id", "via"], "left_anti")
+        half = into.groupBy("pair_id", "via").agg(F.min(F.struct(F.col("id").alias("parent"), "path")).alias("from"))
+        half = stored(half.select("pair_id", "via", "from.*"), "half")
         step = (
-            level.select("pair_id", F.col("id").alias("parent"), "path")
-            .join(hop, ["pair_id", "parent"])
+            used.join(half, ["pair_id", "via"])
             .join(seen.select("pair_id", "id"), ["pair_id", "id"], "left_anti")
             .groupBy("pair_id", "id")
             .agg(F.min(F.struct("parent", "via", "path")).alias("best"))
@@ -239,13 +281,15 @@ def downstream(edges_b: DataFrame, start: DataFrame) -> DataFrame:
         if level.isEmpty():
             discard(level)
             break
+        tables.append(half)
+        entered = _union([t.select("pair_id", "via") for t in tables])
         parts.append(level)
         seen = _union(parts)
         if len(parts) > MERGE_AFTER:
-            seen = stored(seen, "level")
-            for old in parts[:-1]:
+            seen, entered = stored(seen, "level"), stored(entered, "half")
+            for old in (*parts[:-1], *tables):
                 discard(old)
-            parts = [seen]
+            parts, tables = [seen], [entered]
     return seen
 
 

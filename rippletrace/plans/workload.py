@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rippletrace.plans.bundle_workload import SPEC_VIEWS, bundle_views
+from rippletrace.runtime import stored
+
 PAIR = "tpch"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "documents")
 
@@ -129,23 +132,23 @@ VIEWS: dict[str, str] = {
 }
 
 
-def with_views(*names: str, sha: str = "sha256") -> str:
-    """A WITH clause that defines the named views and what they rest on (by default for DuckDB)."""
+VIEWS |= SPEC_VIEWS | bundle_views(1) | bundle_views(2)
+
+
+def with_views(*names: str) -> str:
+    """A WITH clause for DuckDB that defines the named views and what they rest on."""
     need: list[str] = []
 
     def visit(name: str) -> None:
         for other in VIEWS:
-            if other != name and other in VIEWS[name]:
+            if other != name and re.search(rf"\b{other}\b", VIEWS[name]):
                 visit(other)
         if name not in need:
             need.append(name)
 
     for n in names:
         visit(n)
-    body = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in need)
-    if sha != "sha256":
-        return "WITH " + body.replace("sha256(", f"{sha}(")
-    return "WITH RECURSIVE " + body.replace("AS STRING", "AS VARCHAR")
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in need).replace("AS STRING", "AS VARCHAR")
 
 
 class Workload:
@@ -153,24 +156,34 @@ class Workload:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self.written: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def base(self, name: str) -> DataFrame:
+        """A view that others rest on, written once."""
+        if name not in self.written:
+            self.written[name] = stored(self.view(name), name)
+        return self.written[name]
+
     def view(self, name: str) -> DataFrame:
-        """A projected view. Base tables are temporary views only until the plan is resolved."""
-        clause = with_views(name, sha="sha")
+        """A projected view. What it reads are temporary views only until the plan is resolved."""
+        if name in self.written:
+            return self.written[name]
+        text = VIEWS[name].replace("sha256(", "sha(")
+        text = re.sub(r"\bsha\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", r"sha2(\1, 256)", text)
         mark = f"rippletrace_{uuid.uuid4().hex[:8]}"
-        used = [t for t in TABLES if re.search(rf"\bFROM\s+{t}\b", clause)]
+        used = {t: t for t in (*TABLES, *VIEWS) if t != name and re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", text)}
         for t in used:
-            self.table(t).createOrReplaceTempView(f"{mark}_{t}")
-            clause = re.sub(rf"\bFROM(\s+){t}\b", rf"FROM\1{mark}_{t}", clause)
-        clause = re.sub(r"\bsha\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", r"sha2(\1, 256)", clause)
+            used[t] = f"{mark}_{t}"
+            (self.base(t) if t in VIEWS else self.table(t)).createOrReplaceTempView(used[t])
+            text = re.sub(rf"\b(FROM|JOIN)(\s+){t}\b", rf"\1\2{used[t]}", text)
         try:
-            return self.spark.sql(f"{clause} SELECT * FROM {name}")
+            return self.spark.sql(text)
         finally:
-            for t in used:
-                self.spark.catalog.dropTempView(f"{mark}_{t}")
+            for t in used.values():
+                self.spark.catalog.dropTempView(t)
 
     def elements(self, side: int) -> DataFrame:
         """Elements with sorted inputs: pair_id, kind, id, name, type, transform_ref, params, inputs, expression."""

@@ -532,22 +532,24 @@ def lineage_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- schemas, values, steps, hashes, chains ----------------------------------------
 
-_COLUMNS_A = [("orders", "o_orderkey", "int"), ("orders", "o_clerk", "string"), ("orders", "o_total", "decimal"), ("part", "p_size", "int")]
-_COLUMNS_B = [("orders", "o_orderkey", "int"), ("orders", "o_total", "string"), ("orders", "o_comment", "string"), ("part", "p_size", "int"), ("supplier", "s_name", "string")]
-_values = lambda rows: ", ".join(f"('{t}', '{c}', '{k}')" for t, c, k in rows)
+_SCHEMA_ROWS = {
+    1: "SELECT concat('n', CAST(c_nationkey AS {t})) AS owner, concat('col', CAST(c_custkey AS {t})) AS name, CASE WHEN c_custkey % 2 = 0 THEN 'int' ELSE 'string' END AS kind FROM customer WHERE c_custkey % 17 <> 0",
+    2: "SELECT concat('n', CAST(c_nationkey AS {t})) AS owner, concat('col', CAST(c_custkey AS {t})) AS name, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 9 = 0 THEN 'int' ELSE 'string' END AS kind FROM customer WHERE c_custkey % 13 <> 0",
+}
 
 
 @query(
     "schema_evidence_diff",
-    f"""WITH a(t, c, k) AS (VALUES {_values(_COLUMNS_A)}), b(t, c, k) AS (VALUES {_values(_COLUMNS_B)})
-    SELECT coalesce(a.t, b.t) AS "table", coalesce(a.c, b.c) AS "column", CASE WHEN b.c IS NULL THEN 'COLUMN_REMOVED' WHEN a.c IS NULL THEN 'COLUMN_ADDED'
-      ELSE 'COLUMN_TYPE_CHANGED' END AS change_type, a.k AS old_value, b.k AS new_value
-    FROM a FULL OUTER JOIN b ON a.t = b.t AND a.c = b.c WHERE a.k IS DISTINCT FROM b.k""",
+    f"""WITH a AS ({_SCHEMA_ROWS[1].format(t="VARCHAR")}), b AS ({_SCHEMA_ROWS[2].format(t="VARCHAR")})
+    SELECT coalesce(a.owner, b.owner) AS "table", coalesce(a.name, b.name) AS "column", CASE WHEN b.name IS NULL THEN 'COLUMN_REMOVED' WHEN a.name IS NULL THEN 'COLUMN_ADDED'
+      ELSE 'COLUMN_TYPE_CHANGED' END AS change_type, a.kind AS old_value, b.kind AS new_value
+    FROM a FULL OUTER JOIN b ON a.owner = b.owner AND a.name = b.name WHERE a.kind IS DISTINCT FROM b.kind""",
 )
 def schema_evidence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ddl = "table string, column string, type string"
-    one = lambda rows: spark.createDataFrame(rows, ddl).withColumn("pair_id", F.lit("p"))
-    return C.column_changes(one(_COLUMNS_A), one(_COLUMNS_B)).drop("pair_id")
+    """Schemas of two versions with a column for every customer."""
+    customer = Workload(spark, sf_dir).table("customer")
+    side = lambda n: spark.sql(_SCHEMA_ROWS[n].format(t="STRING").replace("FROM customer", "FROM {c}"), c=customer).selectExpr("'p' AS pair_id", "owner AS `table`", "name AS `column`", "kind AS type")
+    return C.column_changes(side(1), side(2)).drop("pair_id")
 
 
 _HALF = "CASE WHEN o_orderdate < TIMESTAMP '1998-04-25' THEN 'a' ELSE 'b' END"
