@@ -13,28 +13,45 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from random import Random
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippletrace.llm.common import session, stored
+from rippletrace.llm.common import chunked, session, stored
 
-#: Mean number of pieces in a shard; islands per shard, epochs, population, crossovers an epoch.
-SHARD, ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 8192, 2, 2, 3, 4
+#: Mean number of pieces in a shard; islands per shard, epochs, population, most crossovers an epoch; an epoch
+#: ends early at the bound (total length over capacity) or after so many crossovers in a row that brought nothing.
+SHARD, ISLANDS, EPOCHS, POPULATION, CROSSOVERS, PATIENCE = 8192, 2, 2, 6, 96, 16
 
 # Fixed value: how byte-level tokenizers of this family split a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+CHUNK = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def is_plain(file: dict[str, Any]) -> bool:
+    """Whether a tokenizer file is byte-level byte-pair encoding and nothing else, its merges in the order of its ids."""
+    split, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "fuse_unk")
+    if file.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    if model.get("type") != "BPE" or any(model.get(k) for k in odd):
+        return False
+    pieces = (m.replace(" ", "", 1) if isinstance(m, str) else "".join(m) for m in model["merges"])
+    ids = [model["vocab"].get(p, -1) for p in pieces]
+    return all(a < b for a, b in zip(ids, ids[1:], strict=False))
+
+
 def encoder(path: str, pattern: str, special: str = "<|endoftext|>") -> Callable[[str], np.ndarray]:
     """Ids by the byte-level tokenizer file at ``path``, through the faster of two equal encoders.
 
-    The byte-pair ranks are read from the tokenizer's own vocabulary, and the file's
-    tokenizer itself handles texts that hold one of its special tokens.
+    The byte-pair ranks are read from the tokenizer's own vocabulary. The file's tokenizer
+    itself handles texts that hold one of its special tokens, and all texts if the file says
+    anything that the faster encoder would not do alike (see :func:`is_plain`).
     """
     import json
 
@@ -43,6 +60,9 @@ def encoder(path: str, pattern: str, special: str = "<|endoftext|>") -> Callable
 
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
+    if not is_plain(file):
+        own = Tokenizer.from_file(path)
+        return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, dtype="<u4")
     model = file["model"]["vocab"]
     specials = {t["content"] for t in file.get("added_tokens", [])} | {special}
     whole: list[Tokenizer] = []  # loaded only where a text needs it
@@ -76,7 +96,7 @@ def pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, pattern)
-        for batch in batches:
+        for batch in chunked(batches, "text", CHUNK):
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
@@ -191,7 +211,7 @@ def grouped(blob: bytes) -> list[list[int]]:
 
 
 def evolve(
-    lengths: list[int], capacity: int, elites: list[bytes], seed: int, population: int, crossovers: int
+    lengths: list[int], capacity: int, elites: list[bytes], seed: int, population: int, crossovers: int, patience: int = PATIENCE
 ) -> bytes:
     """One epoch on one island; its best packing as a bin label for each piece."""
     rng = Random(seed)
@@ -203,14 +223,15 @@ def evolve(
         pool.append(fitted(lengths, sorted(range(n), key=lambda i: (-jitter[i], i)), capacity))
     least = -(-sum(lengths) // capacity)
     scored = sorted(((fitness(p, lengths, capacity), p) for p in pool), key=lambda x: x[0])
+    idle = 0
     for _ in range(crossovers):
-        if scored[0][0][0] == least:
+        if scored[0][0][0] == least or idle >= patience:
             break
         a, b = rng.sample(range(len(scored)), 2) if len(scored) > 1 else (0, 0)
         child = crossover(scored[min(a, b)][1], scored[max(a, b)][1], lengths, capacity, rng)
-        scored.append((fitness(child, lengths, capacity), child))
-        scored.sort(key=lambda x: x[0])
-        scored = scored[:population]
+        fit = fitness(child, lengths, capacity)
+        idle = 0 if fit < scored[-1][0] else idle + 1
+        scored = sorted([*scored, (fit, child)], key=lambda x: x[0])[:population]
     return labels(scored[0][1], n)
 
 

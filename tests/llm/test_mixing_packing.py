@@ -1,5 +1,6 @@
 """Mixing, packing and the pipeline."""
 
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -100,6 +101,34 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(frame(spark, []), tokenizer_path())).collect() == []
 
 
+def test_crossover_improves_hard_packings():
+    """Triples that fill a bin exactly, dealt apart: best fit needs a sixth more bins, evolution wins some back."""
+    rng = random.Random(4)
+    for n, gain in ((20, 2), (60, 3)):
+        lengths = []
+        for _ in range(n):
+            a = rng.randint(780, 1000)
+            b = rng.randint(512, 2048 - a - 512)
+            lengths += [a, b, 2048 - a - b]
+        by_size = sorted(range(3 * n), key=lambda i: (-lengths[i], i))
+        seed = packing.fitted(lengths, by_size, 2048)
+        first = packing.evolve(lengths, 2048, [], 7, packing.POPULATION, packing.CROSSOVERS)
+        second = packing.evolve(lengths, 2048, [first], 8, packing.POPULATION, packing.CROSSOVERS)
+        best = packing.grouped(second)
+        assert sorted(i for b in best for i in b) == list(range(3 * n)) and all(sum(lengths[i] for i in b) <= 2048 for b in best)
+        assert n <= len(best) <= len(seed) - gain
+
+
+def test_only_plain_tokenizer_files_take_the_faster_encoder():
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        file = json.load(f)
+    assert packing.is_plain(file)
+    for edit in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {**file["pre_tokenizer"], "add_prefix_space": True}}):
+        assert not packing.is_plain({**file, **edit})
+    swapped = [file["model"]["merges"][1], file["model"]["merges"][0], *file["model"]["merges"][2:]]
+    assert not packing.is_plain({**file, "model": {**file["model"], "merges": swapped}})
+
+
 def test_evolution_never_loses_a_piece():
     rng = random.Random(2)
     lengths = [rng.randint(1, 100) for _ in range(300)]
@@ -124,6 +153,27 @@ def test_rows_without_an_id_pass_the_near_duplicate_stage(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted((i or 0, t) for i, t in rows if i != 2)
 
 
+def test_stages_on_odd_rows(spark):
+    """Null ids and texts, repeated rows and ties through every stage but the last; empty tables through all."""
+    import corpus_pipeline as P
+
+    rng = random.Random(9)
+    long = prose(rng, 130)
+    rows = [(1, long), (1, long), (None, long), (None, None), (2, None), (3, ""), (4, prose(rng, 60)), (4, prose(rng, 60)), (None, prose(rng, 40))]
+    docs = frame(spark, rows)
+    language = P.identify_language(spark, docs, "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in language.collect()) == sorted((i or 0, t) for i, t in rows if t)
+    near = P.drop_near_duplicates(spark, docs, "")
+    # a repeated row is the same document: both stay, as does what has no id
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in near.collect()) == sorted((i or 0, t or "") for i, t in rows)
+    passages = P.drop_repeated_passages(spark, docs.filter("doc_id IS NOT NULL"), "").collect()
+    assert {r["doc_id"] for r in passages} == {1, 2, 3, 4} and sum(len((r["text"] or "").split()) for r in passages) == 2 * 130 + 120
+    mixed = P.mix_sources(spark, docs, "")
+    assert {r["text"] for r in mixed.collect()} <= {t for _, t in rows}
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), "").collect() == [], name
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
