@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages, each one operator on all that the stage before kept."""
+"""A corpus pipeline of five stages, each one operator on all that the stage before kept.
+
+Rows without a doc_id are documents like any other that are nobody's near duplicate.
+Repeated rows are repeated documents; ties go to the smaller doc_id. An empty table stays
+empty through all stages.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +20,10 @@ LEAST_SHARE = 0.34
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without letters or without a leading language; a missing lang becomes the predicted one."""
+    """Drop texts without letters or without a leading language; a missing lang becomes the predicted one.
+
+    Null and empty texts have no letters and go; a null doc_id and repeated rows stay as they are.
+    """
     model = language_id.train(docs)
     found = language_id.identify(docs.select(*COLUMNS), model, spans=False)
     kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
@@ -23,7 +31,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by word 5-gram Jaccard similarity 0.8 the least doc_id stays; texts without a doc_id all stay."""
+    """Of each group of texts linked by word 5-gram Jaccard similarity 0.8 the least doc_id stays.
+
+    Texts without a doc_id all stay, as do null and empty texts, which link with nothing; rows
+    that repeat the least doc_id stay with it.
+    """
     found = jaccard_join.jaccard_components(docs, k=5, percent=80)
     stay = found.filter("doc_id = component_id").select("doc_id").distinct()
     known = docs.select(*COLUMNS).filter("doc_id IS NOT NULL").join(stay.hint("merge"), "doc_id", "left_semi")
@@ -31,7 +43,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove passages of 50 words that also start earlier; texts of which nothing is left go."""
+    """Remove passages of 50 words that also start earlier (smaller doc_id, then place); texts of which nothing is left go.
+
+    Null and empty texts have no words and stay; rows that repeat a doc_id at the same place take nothing from each other.
+    """
     out = substring_dedup.dedup(docs, window=50, carry=COLUMNS[1:])
     return (
         out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
@@ -42,12 +57,15 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources meet their target weights."""
+    """Repeat or leave out documents so that sources meet their target weights.
+
+    A null source is a source; documents without words weigh nothing and stay out.
+    """
     return mixing.mixed_rows(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenize and pack into sequences of 2048 tokens."""
+    """Tokenize and pack into sequences of 2048 tokens; every row is placed, a null text as an empty one."""
     return packing.pack(stored(packing.pieces(docs, tokenizer_path()), "pieces"))
 
 
