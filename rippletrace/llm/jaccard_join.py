@@ -390,14 +390,13 @@ def sets_of(table: pa.Table, k: int) -> dict[int, np.ndarray]:
     return out
 
 
-def star_links(edges: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def star_links(edges: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
     """The edges (a, b) whose sets are similar, exactly: every set meets its star's center, large stars in parts."""
     parts = stored(edges.groupBy("a").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts")), "stars")
     leaf = F.pmod(F.xxhash64("b"), "parts").cast("int")
     leaves = edges.join(parts, "a").select("a", leaf.alias("part"), F.col("b").alias("digest"))
     centers = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("digest"))
-    named = leaves.unionByName(centers).join(classes.select("digest", "doc_id"), "digest")
-    units = texts.join(named.hint("merge"), "doc_id")
+    units = leaves.unionByName(centers).join(bodies, "digest")
 
     def compare(group: pa.Table) -> pa.Table:
         a, sets = group.column("a")[0].as_py(), sets_of(group, k)
@@ -413,7 +412,7 @@ def star_links(edges: DataFrame, classes: DataFrame, texts: DataFrame, k: int, p
 
 
 def unit_blocks(classes: DataFrame, sizes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """doc_id, digest, label, component, and the unit (i, j) and block of each comparison that a set takes part in.
+    """digest, label, component, and the unit (i, j) and block of each comparison that a set takes part in.
 
     A small group is one unit. In a large one the sets of its most frequent label are
     linked already: only the others meet one another and those, block by block.
@@ -421,14 +420,14 @@ def unit_blocks(classes: DataFrame, sizes: DataFrame, labels: DataFrame | None)
     named = classes.join(sizes.filter("n > 1"), "component")
     zero = F.lit(0)
     small = named.filter(f"n <= {ROWS} AND shingles <= {BLOCK}").select(
-        "doc_id", "digest", F.col("digest").alias("label"), "component", zero.alias("i"), zero.alias("j"), zero.alias("block")
+        "digest", F.col("digest").alias("label"), "component", zero.alias("i"), zero.alias("j"), zero.alias("block")
     )
     if labels is None:
         return small
     hot = named.filter(f"n > {ROWS} OR shingles > {BLOCK}").drop("n", "shingles")
     own = stored(
         hot.join(labels, F.col("digest") == F.col("node"), "left").select(
-            "doc_id", "digest", "n_shingles", "component", F.coalesce("label", "digest").alias("label")
+            "digest", "n_shingles", "component", F.coalesce("label", "digest").alias("label")
         ),
         "labels",
     )
@@ -447,7 +446,7 @@ def unit_blocks(classes: DataFrame, sizes: DataFrame, labels: DataFrame | None)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("to") - 1)))
     )
     large = dealt.select(
-        "doc_id", "digest", "label", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block"
+        "digest", "label", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block"
     )
     return small.unionByName(large)
 
@@ -484,7 +483,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sizes = measured(classes)
     crowded = f"n > {ROWS} OR shingles > {BLOCK}"
     large = sizes.filter(crowded).select("component")
-    proven = labels = None
+    proven = labels = edges = None
     if not large.isEmpty():
         # a large group's sets that no sketch holds together go their own ways
         members = classes.join(large, "component", "left_semi").join(
@@ -495,12 +494,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         refined = classes.drop("component").join(finer, F.col("digest") == F.col("node")).select(*classes.columns)
         classes = stored(classes.join(large, "component", "left_anti").unionByName(refined), "classes")
         sizes = measured(classes)
+    # the texts of groups leave the table once, the same way at every size: no broadcast of what grows
+    grouped = classes.join(sizes.filter("n > 1"), "component", "left_semi").select("doc_id", "digest")
+    bodies = stored(slim.join(grouped.hint("merge"), "doc_id").select("digest", "text"), "bodies")
+    if edges is not None:
         hot = stored(classes.join(sizes.filter(crowded), "component", "left_semi").select(F.col("digest").alias("a")), "hot")
         if not hot.isEmpty():
-            proven = stored(star_links(edges.join(hot, "a", "left_semi"), classes, slim, k, percent), "proven")
+            proven = stored(star_links(edges.join(hot, "a", "left_semi"), bodies, k, percent), "proven")
             labels = stored(components(proven).withColumnRenamed("component", "label"), "labels")
-    placed = unit_blocks(classes, sizes, labels)
-    units = slim.join(placed.hint("merge"), "doc_id").select(  # the same way at every size: no broadcast of what grows
+    units = bodies.join(unit_blocks(classes, sizes, labels), "digest").select(
         "component", "i", "j", "block", "digest", "label", "text"
     )
 
