@@ -100,14 +100,12 @@ def components(edges: DataFrame, contract: bool = True, alone: int | None = None
             large.join(least, "b").select(F.explode(hung).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         )
         after = stored(small, "edges")
-        for old in (low, large, least):
+        for old in (large, least):
             discard(old)
         sign = after.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         discard(now)
         now = after
-        if mark == tuple(sign):
-            break
+        if mark == tuple(sign):  # all edges are stars, and each node's least neighbour was its component
+            return low.select(F.col("a").alias("node"), F.col("m").alias("component"))
+        discard(low)
         mark = tuple(sign)
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
-        now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    )
