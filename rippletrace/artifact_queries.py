@@ -245,13 +245,13 @@ def derived_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SPEC = with_views("spec_items")
 _TEXT = lambda head, tail: F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list("item")), ","), F.lit(tail)).alias("text")
-_PAIR = F.concat(F.lit("n"), F.col("n").cast("string")).alias("pair_id")
+_PAIR = lambda: F.concat(F.lit("n"), F.col("n").cast("string")).alias("pair_id")
 
 
 @query("spec_scan", _SPEC + " SELECT 'n' || CAST(n AS VARCHAR) AS pair_id, 'derived' AS kind, id, name, type, transform_ref, i2 || ',' || i1 AS inputs FROM spec_rows")
 def spec_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = Workload(spark, sf_dir).view("spec_items")
-    docs = items.groupBy(_PAIR).agg(_TEXT('{"spec_version":"1","study_id":"s","source_table":"t","sources":[],"constraints":[],"derived":[', "]}"))
+    docs = items.groupBy(_PAIR()).agg(_TEXT('{"spec_version":"1","study_id":"s","source_table":"t","sources":[],"constraints":[],"derived":[', "]}"))
     return A.elements(docs).withColumns(_joined("inputs")).select("pair_id", "kind", "id", "name", "type", "transform_ref", "inputs")
 
 
@@ -263,8 +263,8 @@ def bindings_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bindings and raw schemas of nations, read from JSON and joined by column."""
     rows = stored(Workload(spark, sf_dir).view("spec_rows"), "rows")
     quoted = lambda *parts: F.concat(*(F.lit(p) if i % 2 == 0 else F.col(p) for i, p in enumerate(parts))).alias("item")
-    bound = rows.select("n", quoted('"', "name", '":"', "id", '"')).groupBy(_PAIR).agg(_TEXT('{"table":"t","bindings":{', "}}"))
-    raw = rows.select("n", quoted('{"name":"', "name", '","type":"', "type", '"}')).groupBy(_PAIR).agg(_TEXT('{"table":"t","columns":[', "]}"))
+    bound = rows.select("n", quoted('"', "name", '":"', "id", '"')).groupBy(_PAIR()).agg(_TEXT('{"table":"t","bindings":{', "}}"))
+    raw = rows.select("n", quoted('{"name":"', "name", '","type":"', "type", '"}')).groupBy(_PAIR()).agg(_TEXT('{"table":"t","columns":[', "]}"))
     columns = A.raw_columns(raw).select("pair_id", F.col("name").alias("raw_column"), "type")
     return A.bindings(bound).join(columns, ["pair_id", "raw_column"]).select("pair_id", "raw_column", "source_id", "type")
 
@@ -282,7 +282,7 @@ def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.when(k % 3 == 0, "x:").when(k % 3 == 1, "t:C").otherwise("t:c"), k.cast("string"))
     digest = F.when(k % 5 == 0, "ABC").otherwise(F.upper(F.sha2("c_name", 256)))
     item = F.concat(F.lit('{"id":"'), name, F.lit('","version":"1","impl_fingerprint":{"digest":"'), digest, F.lit('"}}')).alias("item")
-    docs = Workload(spark, sf_dir).table("customer").select(F.col("c_nationkey").alias("n"), item).groupBy(_PAIR).agg(_TEXT('{"registry_version":"1","transforms":[', "]}"))
+    docs = Workload(spark, sf_dir).table("customer").select(F.col("c_nationkey").alias("n"), item).groupBy(_PAIR()).agg(_TEXT('{"registry_version":"1","transforms":[', "]}"))
     return A.transforms(docs).select("pair_id", "id", "digest", ids.bad_transform(F.col("id"), F.col("digest"), F.lit(None).cast("string")).alias("message"))
 
 

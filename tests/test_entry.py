@@ -1,6 +1,8 @@
+import subprocess
 import sys
 import types
 from importlib.abc import MetaPathFinder
+from pathlib import Path
 
 import pytest
 
@@ -41,3 +43,8 @@ def test_registry_without_the_training_data_operators(monkeypatch):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert "impact_reasons" in queries and "impact_reasons" in sql
     assert "pipeline" not in queries and not [q for q in [*queries, *sql] if q.startswith("op1")]
+
+
+def test_import_needs_no_session():
+    code = "import __spark_entry__ as e; e.queries(), e.oracle_sql()"
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=Path(entry.__file__).parent, check=True, timeout=120)
