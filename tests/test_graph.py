@@ -23,6 +23,18 @@ def test_both_closures_agree(spark, seed):
     assert one == two == three
 
 
+def test_large_pairs_are_told_apart_without_a_shuffle_by_pair(spark):
+    most = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(most)
+    spark.conf.set(most, "-1")
+    try:
+        start = spark.createDataFrame([("p", "a", 1)], "pair_id string, node string, seq long")
+        plan = G.propagate_auto(frame(spark, [("a", "b"), ("b", "c")]), start, most=1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(most, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_closures_have_no_depth_bound(spark):
     for f in (G.reach, G.propagate, G.cyclic_core, G.least_ancestors, lineage.downstream):
         assert "rounds" not in inspect.signature(f).parameters
